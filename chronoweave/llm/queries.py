@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import language, lines
+from chronoweave.llm import language, lines, media, pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs, ~docs["held_out"])
     found = language.identify(docs, model, passing=("held_out",))
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes_covered")
+    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), outputs)
+
+
+@query
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
