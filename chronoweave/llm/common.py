@@ -103,13 +103,17 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         return mix(sums + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
-def words_of(array: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that aren't an ASCII letter or digit, nor part of a longer UTF-8 sequence.
+_MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def words_of(array: pa.Array, marks_too: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each row, A-Z lower-cased: their hashes, the row of
-    each, and byte starts and ends within the row's text."""
+    each, and byte starts and ends within the row's text. With ``marks_too`` ASCII marks
+    separate words as spaces do."""
     data, offsets = bytes_of(array)
-    if lower:
-        data = _LOWER[data]
-    inside = ~_SPACE[data]
+    data = _LOWER[data]
+    inside = ~(_MARKS if marks_too else _SPACE)[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[0] = True
     edge[offsets[1:-1]] = True
@@ -137,5 +141,11 @@ def windows(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np
     return h[keep], rows[:total][keep]
 
 
-def count_sum(name: str) -> F.Column:
-    return F.sum(name).cast("long").alias(name)
+#: Rows of ids or pairs up to which a join may broadcast them: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if it has ``rows`` rows at most. Its rows should be narrow and
+    stored already, so that counting them is cheap; beyond the bound joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
