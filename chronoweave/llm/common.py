@@ -149,3 +149,18 @@ def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast if it has ``rows`` rows at most. Its rows should be narrow and
     stored already, so that counting them is cheap; beyond the bound joins shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def frequent(df: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows of ``df`` with the largest positive counts, at most ``most`` of them.
+
+    A histogram of counts on a fine log scale (some thousand cells, whatever the input) gives
+    the cut; rows of one cell go in or stay out together. No task sorts or gathers candidates."""
+    cell = F.floor(F.log2(F.col(column).cast("double")) * 256).cast("int")
+    total, cut_at = 0, None
+    for r in sorted(df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["cell"]):
+        total += r["n"]
+        if total > most:
+            break
+        cut_at = r["cell"]
+    return df.where(F.lit(False) if cut_at is None else cell >= cut_at)

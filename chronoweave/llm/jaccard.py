@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import U64, checked, id_text, map_arrow, mix, steps, windows, words_of
+from chronoweave.llm.common import U64, checked, frequent, id_text, map_arrow, mix, steps, windows, words_of
 from chronoweave.llm.graph import components
 from chronoweave.runtime import cut, partitions
 
@@ -271,8 +271,9 @@ def link_classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD
     n = partitions(spark)
     found = cut(map_arrow(docs, _signatures(width), "kind int, id long, n long, cls long"), "shingle-signatures", ["kind"])
     signatures = found.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cls")
-    often = found.where("kind = 1").groupBy(F.col("id").alias("token")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY)
-    top = np.array([r["token"] for r in often.select("token").collect()], np.int64).view(U64)[::-1]
+    often = frequent(cut(found.where("kind = 1").groupBy(F.col("id").alias("token")).agg(F.sum("n").alias("n")), "often"), "n", HEAVY)
+    # rank by count: the least heavy first
+    top = np.array([r["token"] for r in sorted(often.collect(), key=lambda r: (r["n"], r["token"]))], np.int64).view(U64)
     held = spark.sparkContext.broadcast(top)
     salts = 16
     dealt = map_arrow(docs, _prefixes(held, width, threshold, salts), "token long, salt int, cls long, n int").repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "cls")

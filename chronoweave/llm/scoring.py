@@ -1,6 +1,6 @@
 """Stupid-backoff scores, computed relationally.
 
-1. Word counts over the whole corpus; its ``VOCABULARY`` most frequent words get ids by rank, all
+1. Word counts over the whole corpus; its most frequent words, at most ``VOCABULARY``, get ids by rank, all
    others are the one word <unk>. That bound is the model's, the same at every size.
 2. Count tables of word pairs, partitioned by hash. Pairs of two of the ``HEAD`` most frequent words (or <unk>) are
    the only ones that can be hot; their table has at most (HEAD + 1)^2 cells and is broadcast.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import U64, id_text, map_arrow, steps, words_of
+from chronoweave.llm.common import U64, frequent, id_text, map_arrow, steps, words_of
 from chronoweave.runtime import cut
 
 VOCABULARY, HEAD = 65_536, 1024
@@ -79,7 +79,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def fit_vocabulary(docs: DataFrame, size: int = VOCABULARY, head: int = HEAD) -> Vocabulary:
     counts = cut(word_counts(docs), "word-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.orderBy(F.desc("n"), "h").limit(size).collect()
+    rows = sorted(frequent(counts, "n", size).collect(), key=lambda r: (-r["n"], r["h"]))
     return Vocabulary(np.array([r["h"] for r in rows], np.int64).view(U64), np.array([r["n"] for r in rows], np.int64), total, head)
 
 
