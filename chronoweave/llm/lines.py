@@ -175,3 +175,23 @@ def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_doc
 
     name = "kept_sha256" if digest else "text"
     return map_arrow(joined, fn, "doc_id long, out string, n_lines long, n_dropped long").withColumnRenamed("out", name)
+
+
+def apply_bitmaps(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns in their order, with each text's dropped lines taken out; a null
+    text stays null."""
+    columns = [f"_c{i}" for i in range(len(docs.columns))]
+    key, text = columns[docs.columns.index(id_col)], columns[docs.columns.index(text_col)]
+    plain = docs.toDF(*columns)
+    joined = plain.join(maps.select(F.col("doc_id").alias("_doc_id"), F.col("keep").alias("_keep")), F.col(key).cast("long") == F.col("_doc_id"), "left").drop("_doc_id")
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = columns.index(text)
+        for batch in batches:
+            texts = [t if t is None else _kept(t, k)[0] for t, k in zip(batch.column(text).to_pylist(), batch.column("_keep").to_pylist(), strict=True)]
+            arrays = [batch.column(c) for c in columns]
+            arrays[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    return map_arrow(joined, fn, schema).toDF(*docs.columns)
