@@ -8,9 +8,11 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed: the 91 characters in order of value.
@@ -91,35 +93,35 @@ def merge(a: Any, b: Any) -> Any:
     return b
 
 
-@F.pandas_udf("string")
-def base91(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else base91_encode(bytes(x)))
+def _mapped(f: Callable, kind: str) -> Callable[[Column], Column]:
+    """A function on a column, made when it is called: a session must be there by then."""
 
 
-@F.pandas_udf("binary")
-def unbase91(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else base91_decode(x))
+    def each(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else f(v))
 
+    return lambda c: F.pandas_udf(each, kind)(c)
 
-@F.pandas_udf("string")
-def zip91(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else envelope(bytes(x)))
 
+base91 = _mapped(lambda x: base91_encode(bytes(x)), "string")
+unbase91 = _mapped(base91_decode, "binary")
+zip91 = _mapped(lambda x: envelope(bytes(x)), "string")
+unzip91 = _mapped(open_envelope, "binary")
 
-@F.pandas_udf("binary")
-def unzip91(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else open_envelope(x))
 
+def merged_text(x: str | None, y: str | None) -> str | None:
+    if x is None or y is None:
+        return y if x is None else x
+    return json.dumps(merge(json.loads(x), json.loads(y)), sort_keys=True, separators=(",", ":"))
 
-@F.pandas_udf("string")
-def merge_json(a: pd.Series, b: pd.Series) -> pd.Series:
+
+def merge_json(a: Column, b: Column) -> Column:
     """Both as JSON text; the result has sorted keys."""
-    def one(x: str | None, y: str | None) -> str | None:
-        if x is None or y is None:
-            return y if x is None else x
-        return json.dumps(merge(json.loads(x), json.loads(y)), sort_keys=True, separators=(",", ":"))
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    def both(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([merged_text(u, v) for u, v in zip(x, y, strict=True)])
+
+    return F.pandas_udf(both, "string")(a, b)
 
 
 def cbor_head(major: int, n: int) -> bytes:
