@@ -32,8 +32,8 @@ def upsert(keys: DataFrame, changes: DataFrame, by: list[str], t: str, value: st
     near = changes.select(*by, F.col(t).alias("_ct"), F.col(value).alias("_cv"), F.explode(F.array(*(bucket(F.col(t)) + i for i in (-1, 0, 1)))).alias("_b"))
     held = keys.withColumn("_b", bucket(F.col(t)))
     hits = held.join(near, [*by, "_b"]).where(F.abs(F.col(t) - F.col("_ct")) <= snap)
-    chosen = hits.groupBy(*by, "_ct").agg(F.min(F.struct(F.col(t).alias("t"))).alias("k"), F.first("_cv").alias("_cv"))
-    updates = chosen.groupBy(*by, F.col("k.t").alias(t)).agg(F.max(F.struct("_ct", "_cv")).alias("_u"))
+    chosen = hits.groupBy(*by, "_ct").agg(F.min(F.struct(F.col(t).alias("t"))).alias("_key"), F.first("_cv").alias("_cv"))
+    updates = chosen.groupBy(*by, F.col("_key.t").alias(t)).agg(F.max(F.struct("_ct", "_cv")).alias("_u"))
     kept = keys.join(updates, [*by, t], "left").withColumn(value, F.coalesce("_u._cv", value)).drop("_u")
     new = changes.join(chosen.select(*by, F.col("_ct").alias(t)), [*by, t], "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
