@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm.common import U64, bytes_of, map_arrow, mix
 
 ORDER = 4
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 #: Pseudo-counts that the next shorter context's estimate weighs.
 STRENGTH = 2.0
 #: Scores' bins for calibration, over [-BOUND, BOUND].
@@ -147,7 +147,7 @@ def fit(labelled: DataFrame) -> UrlModel:
 
     spark = labelled.sparkSession
     cells = map_arrow(rows.where("not held").select("url", "side"), counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    tables = np.zeros(2 * 2 * (ORDER + 1) * BUCKETS)
+    tables = np.zeros(2 * 2 * (ORDER + 1) * BUCKETS, np.float32)
     tables[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     tables = tables.reshape(2, 2, ORDER + 1, BUCKETS)
     seen = [tables[s, 0].any() for s in (0, 1)]
