@@ -1,8 +1,8 @@
 """Lens distortion models as Column expressions.
 
 Forward forms are closed; inverses run a fixed number of unrolled steps as a fold over a
-sequence, so a plan's size doesn't grow with the steps, and give null where the
-reference method fails. Coefficients are plain floats; points are in normalised coordinates, or
+sequence, so a plan's size doesn't grow with the steps, and give null where they
+don't converge. Coefficients are plain floats; points are in normalised coordinates, or
 pixels for the digital lenses.
 """
 

@@ -292,7 +292,7 @@ def gcsv_parse(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
     line = F.concat_ws(",", F.col("event_id").cast("string"), F.col("value").cast("string"), (-F.col("value")).cast("string"), (F.col("event_id") % 10).cast("string"))
     body = e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
-    head = "GYROFLOW IMU LOG\nversion,1.1\ntscale,0.001\ngscale,0.5\nt,gx,gy,gz\n"
+    head = "CAMERA IMU LOG\nversion,1.1\ntscale,0.001\ngscale,0.5\nt,gx,gy,gz\n"
     _, samples = gcsv.parse(body.select(F.col("user_id").cast("string").alias("path"), F.concat(F.lit(head), F.col("body")).alias("text")))
     return samples.select(F.round("t_ms").cast("long").alias("event_id"), r("gx").alias("gx"), r("gy").alias("gy"), r("gz").alias("gz"), r("t_ms", 3).alias("t_ms"))
 

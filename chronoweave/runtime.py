@@ -50,6 +50,22 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing will read again; those must be cut()'s own results."""
+    for df in tables:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        for name in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            # a table's folder is the one right under the shared folder
+            root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath().rstrip("/")
+            while path is not None and path.getParent() is not None and path.getParent().toUri().getPath().rstrip("/") != root:
+                path = path.getParent()
+            if path is not None and path.getParent() is not None:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ensure_shipped(spark: SparkSession) -> None:
     """Make this package importable on the executors, once per application."""
     sc = spark.sparkContext

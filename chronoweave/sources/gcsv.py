@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAGIC = ("GYROFLOW IMU LOG", "CAMERA IMU LOG")
+#: How a log's first line ends.
+MAGIC = " IMU LOG"
 
 
 def parse(files: DataFrame, path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -18,7 +19,7 @@ def parse(files: DataFrame, path: str = "path", text: str = "text") -> tuple[Dat
     Raw values are scaled by the header's tscale (seconds), gscale, ascale and mscale. A
     file without the magic line has neither header nor samples."""
     lines = files.select(F.col(path).alias("path"), F.split(F.regexp_replace(F.col(text), "\r", ""), "\n").alias("lines"))
-    good = lines.where(F.array_contains(F.array(*map(F.lit, MAGIC)), F.btrim(F.element_at("lines", 1))))
+    good = lines.where(F.endswith(F.btrim(F.element_at("lines", 1)), F.lit(MAGIC)))
     split_at = F.array_position(F.transform("lines", lambda x: x.startswith("t,")), True).cast("int")
     cut = good.withColumn("at", split_at).where("at > 0")
     pairs = F.filter(F.transform(F.slice("lines", F.lit(2), F.col("at") - 2), lambda x: F.split(x, ",", 2)), lambda p: F.size(p) == 2)

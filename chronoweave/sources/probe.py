@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed: marks that formats put into a file's head or tail.
-MARKS = (("gopro", ("GoPro MET", "GoPro SOS", "GPMFDEVC")), ("insta360", ("8db42d694ccc418790edff439fe026bf",)), ("dji", ("CAM meta", "djmd")), ("sony", ("Non-Real Time Meta", "manufacturer=\"Sony\"")), ("gcsv", ("GYROFLOW IMU LOG", "CAMERA IMU LOG")))
+MARKS = (("gopro", ("GoPro MET", "GoPro SOS", "GPMFDEVC")), ("insta360", ("8db42d694ccc418790edff439fe026bf",)), ("dji", ("CAM meta", "djmd")), ("sony", ("Non-Real Time Meta", "manufacturer=\"Sony\"")), ("gcsv", (" IMU LOG",)))
 
 
 def window_bytes(size: Column) -> Column:

@@ -162,7 +162,7 @@ def test_merge_rules():
 
 
 def test_gcsv_rules(spark):
-    text = "GYROFLOW IMU LOG\r\nversion,1.1\r\ntscale,0.5\r\nt,gx,gy,gz\r\n1,1,2,3\r\n2,1,2,3,4,5,6\r\nbad\r\n"
+    text = "CAMERA IMU LOG\r\nversion,1.1\r\ntscale,0.5\r\nt,gx,gy,gz\r\n1,1,2,3\r\n2,1,2,3,4,5,6\r\nbad\r\n"
     files = frame(spark, [("x", text), ("y", "nothing\n1,2,3,4"), ("z", "")], "path string, text string")
     headers, samples = gcsv.parse(files)
     got = sorted(samples.collect(), key=lambda r: r["row"])
