@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.runtime import cut
+from chronoweave.runtime import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         step = cut(near.join(jump, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
+        discard(labels)
         labels = step.select("node", "label")
         if step.where("moved").isEmpty():
+            discard(both)
             return labels

@@ -24,7 +24,7 @@ no say in a component's name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +34,18 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.common import U64, checked, frequent, id_text, map_arrow, mix, steps, windows, words_of
 from chronoweave.llm.graph import components
-from chronoweave.runtime import cut, partitions
+from chronoweave.runtime import cut, discard, partitions
 
 WIDTH, THRESHOLD = 5, 75
 #: Heavy shingles that orders put last, whatever the input's size; and from how many classes
 #: among HEAVY_BLOCK shingles of a task one is proposed.
 HEAVY, HEAVY_FROM, HEAVY_BLOCK = 100_000, 4, 4_000_000
 #: Star rounds before remaining pairs are enumerated.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: Leaders that a member is held against in a round: those that it shares most with.
+LEADERS = 3
+#: A round that links less than this share of its pairs is the last.
+WORTH = 0.05
 #: Members of one leader that are verified together.
 SHARE = 512
 ORDERS = 3
@@ -138,7 +142,7 @@ class Orders:
 
 
 def _prefixes(held, width: int, threshold: int, salts: int):
-    """(token, salt, cls, n): the first order's prefix rows, each class once a task."""
+    """(token, salt, cls, n, pos): the first order's prefix rows, each class once a task."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(held.value)
@@ -155,12 +159,13 @@ def _prefixes(held, width: int, threshold: int, salts: int):
                 h, of, heavy = h[by], of[by], heavy[by]
                 counts = np.where(new, counts, 0)
                 starts = np.cumsum(counts) - counts
-                first = np.arange(len(h)) - starts[of] < (counts - (-(-threshold * counts // 100)) + 1)[of]
-                h, of, heavy = h[first], of[first], heavy[first]
+                pos = np.arange(len(h)) - starts[of]
+                first = pos < (counts - (-(-threshold * counts // 100)) + 1)[of]
+                h, of, heavy, pos = h[first], of[first], heavy[first], pos[first]
                 cls = np.array([c or 0 for c in names], np.int64)[of]
                 # salt 0 is for shingles that aren't heavy
                 salt = np.where(heavy, U64(1) + cls.view(U64) % U64(salts), U64(0)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(cls), pa.array(counts[of].astype(np.int32))], names=["token", "salt", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(cls), pa.array(counts[of].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "salt", "cls", "n", "pos"])
 
     return fn
 
@@ -198,42 +203,73 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield groups(tail, True)[0]
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of shingles as bytes."""
+    for batch in batches:
+        data = [np.array(t, np.int64).tobytes() for t in batch.column("tokens").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(data, pa.binary())], names=["cls", "n", "shingles"])
+
+
 def _sets(width: int):
+    """A class's set from the text of its first document; a repeated doc_id with another text is passed over."""
+
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, "text"):
                 h, _, counts = shingle_sets(batch.column("text"), width)
                 ends = np.cumsum(counts)
+                own = [a == b for a, b in zip(batch.column("cls").to_pylist(), _classes(h, counts), strict=True)]
                 data = [h[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(data, pa.binary())], names=["cls", "shingles"])
+                made = pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(counts.astype(np.int32)), pa.array(data, pa.binary())], names=["cls", "n", "shingles"])
+                yield made.filter(pa.array(own, pa.bool_()))
 
     return fn
 
 
-def _linked(held, threshold: int):
-    """Verify rows sorted by (x, share, cls is not x): the first of each group holds x's set."""
+class Sets:
+    """Whole sets of classes, read from texts when a verification first asks for them."""
+
+    def __init__(self, docs: DataFrame, first: DataFrame, width: int):
+        self.docs, self.first, self.width = docs.where("doc_id is not null"), first, width
+        self.tables: list[DataFrame] = []
+
+    def all(self) -> DataFrame:
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.union(t)
+        return out
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(cls, n, shingles) with those of ``pairs`` (u, v) among them."""
+        wanted = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
+        if self.tables:
+            wanted = wanted.join(self.all().select("cls"), "cls", "left_anti")
+        missing = cut(self.first.join(wanted, "cls"), "wanted-classes")
+        if not self.tables or not missing.isEmpty():
+            texts = self.docs.join(checked(missing), "doc_id").select("cls", "text")
+            self.tables.append(cut(map_arrow(texts, _sets(self.width), "cls long, n int, shingles binary"), "shingle-sets"))
+        discard(missing)
+        return self.all()
+
+
+Test = Callable[[np.ndarray, np.ndarray, int, int], bool]
+
+
+def _passing(make: Callable[[], Callable[[np.ndarray, int], Test]]):
+    """Rows sorted by (x, share, cls is not x): the first of each group holds x's shingles. Keeps
+    the pairs for which ``make()(x's shingles, x's size)`` says yes to (y's shingles, y's size)."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = Orders(held.value)
-        x, own, firsts = None, np.zeros(0, U64), []
+        prepare, x, test = make(), None, None
         for batch in batches:
             us, vs = [], []
-            for a, b, data in zip(batch.column("x").to_pylist(), batch.column("cls").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            for a, b, n, data in zip(*(batch.column(c).to_pylist() for c in ("x", "cls", "n", "shingles")), strict=True):
                 h = np.frombuffer(data, U64)
                 if a == b:
-                    x, own = a, h
-                    firsts = [orders.prefix(h, k, threshold) for k in range(1, ORDERS)]
-                    continue
-                if x != a:
+                    x, test = a, prepare(h, n)
+                elif x != a:
                     raise RuntimeError("a group without its leader's set")
-                small, large = sorted((len(h), len(own)))
-                if 100 * small < threshold * large:
-                    continue
-                # the other orders' filters: disjoint prefixes rule a pair out
-                if not all(np.isin(orders.prefix(h, k, threshold), f, assume_unique=True).any() for k, f in enumerate(firsts, 1)):
-                    continue
-                common = len(np.intersect1d(h, own, assume_unique=True))
-                if 100 * common >= threshold * (len(h) + len(own) - common):
+                elif test(h, n):
                     us.append(a)
                     vs.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
@@ -241,8 +277,51 @@ def _linked(held, threshold: int):
     return fn
 
 
-def verify(pairs: DataFrame, sets: DataFrame, held, threshold: int) -> DataFrame:
-    """The (x, y) of ``pairs`` that link, as (u, v). Sets travel to their pairs' leader."""
+def _linked(held, threshold: int):
+    """The whole test, on whole sets: other orders' prefixes meet, then sets are intersected."""
+
+    def make():
+        orders = Orders(held.value)
+
+        def prepare(own: np.ndarray, size: int):
+            firsts = [orders.prefix(own, k, threshold) for k in range(1, ORDERS)]
+
+            def test(h: np.ndarray, n: int) -> bool:
+                if 100 * min(n, size) < threshold * max(n, size):
+                    return False
+                if not all(np.isin(orders.prefix(h, k, threshold), f, assume_unique=True).any() for k, f in enumerate(firsts, 1)):
+                    return False
+                common = len(np.intersect1d(h, own, assume_unique=True))
+                return 100 * common >= threshold * (n + size - common)
+
+            return test
+
+        return prepare
+
+    return _passing(make)
+
+
+def _promising(threshold: int):
+    """A bound from the first order's prefixes alone: what isn't in both lies in the rest of the one that ends first."""
+
+    def make():
+        def prepare(own: np.ndarray, size: int):
+            def test(h: np.ndarray, n: int) -> bool:
+                if 100 * min(n, size) < threshold * max(n, size):
+                    return False
+                need = -(-threshold * (n + size) // (100 + threshold))
+                rest = -(-threshold * max(n, size) // 100) - 1
+                return len(np.intersect1d(h, own, assume_unique=True)) + rest >= need
+
+            return test
+
+        return prepare
+
+    return _passing(make)
+
+
+def _met(pairs: DataFrame, sets: DataFrame, test, name: str) -> DataFrame:
+    """The (x, y) of ``pairs`` that pass, as (u, v). ``sets`` (cls, n, shingles) travel to their pairs' leader."""
     n = partitions(pairs.sparkSession)
     # a leader's members go to shares of about SHARE each, so a large group is many tasks' work
     sizes = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("members"))
@@ -252,8 +331,18 @@ def verify(pairs: DataFrame, sets: DataFrame, held, threshold: int) -> DataFrame
     rows = cut(members.union(leaders), "to-verify")
     full = sets.join(checked(rows), "cls")
     order = [F.col("x"), F.col("share"), F.col("cls") != F.col("x")]
-    dealt = full.select("x", "share", "cls", "shingles").repartition(n, "x", "share").sortWithinPartitions(*order)
-    return cut(map_arrow(dealt, _linked(held, threshold), "u long, v long"), "links")
+    dealt = full.select("x", "share", "cls", "n", "shingles").repartition(n, "x", "share").sortWithinPartitions(*order)
+    out = cut(map_arrow(dealt, test, "u long, v long"), name)
+    discard(shares, rows)
+    return out
+
+
+def verify(pairs: DataFrame, prefixes: DataFrame, sets: Sets, held, threshold: int) -> DataFrame:
+    """The (x, y) of ``pairs`` that link: first by prefixes, which are short, then by whole sets."""
+    hopeful = _met(pairs, prefixes, _promising(threshold), "hopeful")
+    out = _met(hopeful.select(F.col("u").alias("x"), F.col("v").alias("y")), sets.of(hopeful), _linked(held, threshold), "links")
+    discard(hopeful)
+    return out
 
 
 def _relabel(rows: DataFrame, labels: DataFrame | None, column: str, out: str) -> DataFrame:
@@ -276,20 +365,26 @@ def link_classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD
     top = np.array([r["token"] for r in sorted(often.collect(), key=lambda r: (r["n"], r["token"]))], np.int64).view(U64)
     held = spark.sparkContext.broadcast(top)
     salts = 16
-    dealt = map_arrow(docs, _prefixes(held, width, threshold, salts), "token long, salt int, cls long, n int").repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "cls")
-    shared = cut(map_arrow(dealt, _shared, "token long, salt int, cls long, n int"), "shared-prefixes")
-    # a class's set is read from the text of its first document
+    dealt = map_arrow(docs, _prefixes(held, width, threshold, salts), "token long, salt int, cls long, n int, pos int").repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "cls")
+    shared = cut(map_arrow(dealt, _shared, "token long, salt int, cls long, n int, pos int"), "shared-prefixes")
     active = shared.select("cls").distinct()
     first = cut(signatures.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(active, "cls"), "active-classes")
-    texts = docs.where("doc_id is not null").join(checked(first), "doc_id").select("cls", "text")
-    sets = cut(map_arrow(texts, _sets(width), "cls long, shingles binary").dropDuplicates(["cls"]), "shingle-sets")
+    sets = Sets(docs, first, width)
+    # the least edited of near copies share most of their prefix with others: they lead best
+    p = F.col("n") - F.ceil(F.col("n") * threshold / 100.0 - 1e-9) + 1
+    central = cut(shared.groupBy("cls").agg(F.round(F.count(F.lit(1)) / F.first(p), 2).alias("central")), "central")
+    ranked = cut(shared.join(checked(central), "cls"), "ranked-prefixes")
+    discard(shared, central)
+    shared = ranked
+    packed = shared.groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("token")).alias("tokens"))
+    prefixes = cut(map_arrow(packed, _pack, "cls long, n int, shingles binary"), "packed-prefixes")
 
     links: DataFrame | None = None
     tried: DataFrame | None = None
     labels: DataFrame | None = None
     for k in range(STAR_ROUNDS):
         rows = _relabel(shared, labels, "cls", "comp")
-        rank = F.col("cls") if k == 0 else F.xxhash64("cls", F.lit(k))
+        rank = F.struct((-F.floor(F.col("central") * (50 >> k))).alias("c"), F.xxhash64("cls", F.lit(k)).alias("h"))
         # stars by (token, salt), then between the leaders of a token's salts
         lead = rows.groupBy("token", "salt").agg(F.min(F.struct(rank.alias("r"), "cls", "comp", "n")).alias("lead"), F.min("comp").alias("a"), F.max("comp").alias("b"))
         lead = cut(lead.where("a < b or salt > 0").drop("a", "b"), "leaders")
@@ -297,37 +392,47 @@ def link_classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD
         heads = lead.groupBy("token").agg(F.min("lead").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
         ends = lead.join(heads, "token").select(F.col("head.cls").alias("x"), F.col("head.comp").alias("cx"), F.col("head.n").alias("nx"), F.col("lead.cls").alias("y"), F.col("lead.comp").alias("cy"), F.col("lead.n").alias("ny"))
         near = star.union(ends).where((F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * threshold))
-        best = near.groupBy("y", "x").agg(F.count(F.lit(1)).alias("s")).groupBy("y").agg(F.max(F.struct("s", "x")).alias("best"))
-        pairs = best.select(F.col("best.x").alias("x"), "y")
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), "star-pairs")
-        if pairs.isEmpty():
+        counted = near.groupBy("y", "x").agg(F.count(F.lit(1)).alias("s"))
+        if tried is not None:
+            counted = counted.join(checked(tried), ["x", "y"], "left_anti")
+        ranked = counted.groupBy("y").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "x")), False), 1, LEADERS).alias("best"))
+        pairs = cut(ranked.select(F.explode("best.x").alias("x"), "y"), "star-pairs")
+        discard(lead)
+        made = pairs.count()
+        if not made:
             break
         tried = pairs if tried is None else tried.union(pairs)
-        new = verify(pairs, sets, held, threshold)
+        new = verify(pairs, prefixes, sets, held, threshold)
         links = new if links is None else links.union(new)
+        discard(labels)
         labels = components(links)
+        if new.count() < WORTH * made:
+            break
 
     # every pair that is left between components, under the first order's full prefixes
     rows = _relabel(shared, labels, "cls", "comp")
     spread = rows.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    mixed = cut(rows.join(spread, "token", "left_semi").select("token", "cls", "n", "comp"), "mixed-prefixes")
-    a = mixed.select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    b = mixed.select("token", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
+    mixed = cut(rows.join(spread, "token", "left_semi").select("token", "cls", "n", "pos", "comp"), "mixed-prefixes")
+    a = mixed.select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
+    # the smaller set's prefix is shorter: its partner's size raises the overlap that is asked for
+    index = F.col("n") - F.ceil(F.col("n") * (2.0 * threshold) / (100.0 + threshold) - 1e-9)
+    b = mixed.where(F.col("pos") <= index).select("token", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
     # a class pair once, with the larger set (then the larger name) as leader
     order = (F.col("nx") > F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y"))
-    pairs = a.join(b, "token").where(order & (F.col("cx") != F.col("cy")) & (F.col("ny") * 100 >= F.col("nx") * threshold))
-    counted = pairs.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("s"))
     need = F.ceil((F.col("nx") + F.col("ny")) * threshold / (100.0 + threshold) - 1e-9)
-    outside = F.greatest(*(F.col(c) - (F.col(c) - F.ceil(F.col(c) * threshold / 100.0 - 1e-9) + 1) for c in ("nx", "ny")))
-    left = counted.where(F.col("s") + outside >= need).select("x", "y")
+    near = (F.col("px") <= F.col("nx") - need) & (F.col("py") <= F.col("ny") - need)
+    pairs = a.join(b, "token").where(order & (F.col("cx") != F.col("cy")) & (F.col("ny") * 100 >= F.col("nx") * threshold) & near)
+    left = pairs.select("x", "y").distinct()
     if tried is not None:
         both = tried.union(tried.select(F.col("y").alias("x"), F.col("x").alias("y")))
         left = left.join(both, ["x", "y"], "left_anti")
     left = cut(left, "left-pairs")
     if not left.isEmpty():
-        new = verify(left, sets, held, threshold)
+        new = verify(left, prefixes, sets, held, threshold)
         links = new if links is None else links.union(new)
+        discard(labels)
         labels = components(links)
+    discard(shared, prefixes, *sets.tables, mixed, left, first)
     if links is None:
         links = spark.createDataFrame([], "u long, v long")
     return signatures, links, labels

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import id_text, map_arrow
-from chronoweave.runtime import cut, partitions
+from chronoweave.runtime import cut, discard, partitions
 
 #: What is stripped from a line's ends: space, tab, LF, VT, FF, CR.
 STRIP = " \t\n\x0b\x0c\r"
@@ -111,6 +111,7 @@ def drop_bitmaps(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS, min_do
     keys = cut(line_keys(id_text(docs, id_col, text_col), min_code_points), "line-keys")
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc(), F.col("pos")]
     ranged = keys.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).checkpoint()
+    discard(keys)
     crossing = spark.sparkContext.broadcast(_crossing(map_arrow(ranged, _edges, "part int, at int, h1 long, h2 long, n long, top long, low long").collect()))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
