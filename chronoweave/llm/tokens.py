@@ -5,8 +5,8 @@
    pre-tokens with their frequencies.
 2. The tokenizer counts the pieces of each distinct pre-token once; the table
    (piece_token, n_pieces, frequency) is stored in the shared folder.
-3. Documents' pre-token frequencies meet that table: its ``HEAD`` most frequent rows, a
-   fixed number, as a broadcast table, all others by a shuffled join on the pre-token. So no key
+3. Documents' pre-token frequencies meet that table: its most frequent rows, at most ``HEAD``
+   of them, as a broadcast table, all others by a shuffled join on the pre-token. So no key
    that is frequent enough to be hot is ever shuffled. Sums by document end it.
 
 Defined results. Null text: as the empty text, no tokens. A special string inside a text is
@@ -24,23 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import U64, id_text, map_arrow, mix, steps
+from chronoweave.llm.common import U64, frequent, id_text, map_arrow, mix, steps
 from chronoweave.runtime import cut
 
-#: Rows of the broadcast table, whatever the input's size.
+#: Most rows of the broadcast table, whatever the input's size.
 HEAD = 150_000
 MAX_VOCABULARY_BYTES = 64 << 20
 
 #: Code point classes: letter, number, white space, other.
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-_CLASSES: list[np.ndarray] = []
+_CLASSES: dict[tuple, np.ndarray] = {}
 #: Fixed: endings that the pre-tokenizer's pattern splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
+#: (code point, class) of those that a library knows otherwise than ``regex`` does.
+Fixes = tuple[tuple[int, int], ...]
 
-def classes() -> np.ndarray:
+
+def classes(fixes: Fixes = ()) -> np.ndarray:
     """The class of every code point, by Unicode's letter, number and white-space properties."""
-    if not _CLASSES:
+    if fixes not in _CLASSES:
         import regex
 
         table = np.full(0x110000, OTHER, np.uint8)
@@ -51,11 +54,31 @@ def classes() -> np.ndarray:
                 table[a : b + 1] = kind
                 if a < 0xD800 <= b:
                     table[0xD800:0xE000] = OTHER
-        _CLASSES.append(table)
-    return _CLASSES[0]
-
-
-def boundaries(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+        for point, kind in fixes:
+            table[point] = kind
+        _CLASSES[fixes] = table
+    return _CLASSES[fixes]
+
+
+def fixes_of(pre_tokenizer) -> Fixes:
+    """What the library's own pattern says of code points on which two versions of Unicode,
+    those of ``regex`` and of Python, differ: some thousand newly assigned ones."""
+    import unicodedata
+
+    kinds = {"L": LETTER, "N": NUMBER}
+    table = classes()
+    out = []
+    for point in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
+        kind = kinds.get(unicodedata.category(chr(point))[0], OTHER)
+        if table[point] != kind and table[point] != SPACE:
+            c = chr(point)
+            kind = LETTER if len(pre_tokenizer.pre_tokenize_str("a" + c)) == 1 else NUMBER if len(pre_tokenizer.pre_tokenize_str("1" + c)) == 1 else OTHER
+            if table[point] != kind:
+                out.append((point, kind))
+    return tuple(out)
+
+
+def boundaries(points: np.ndarray, text_starts: np.ndarray, fixes: Fixes = ()) -> np.ndarray:
     """Where pre-tokens start in ``points``: texts' code points laid end to end.
 
     The rule, for runs of one class within a text: a run of letters, numbers or others takes
@@ -63,7 +86,7 @@ def boundaries(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
     stands alone or goes along; an apostrophe alone before one of CONTRACTIONS goes with it.
     """
     n = len(points)
-    kind = classes()[points]
+    kind = classes(fixes)[points]
     first = np.zeros(n, bool)
     first[text_starts[text_starts < n]] = True
     new = first.copy()
@@ -96,7 +119,7 @@ def boundaries(points: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
 class Split:
     """Pre-tokens of a step's texts: which are distinct, and each document's frequencies."""
 
-    def __init__(self, texts: list[str | None], specials: tuple[str, ...]):
+    def __init__(self, texts: list[str | None], specials: tuple[str, ...], fixes: Fixes = ()):
         self.special_rows: list[int] = []
         parts, rows = [], []
         for row, text in enumerate(texts):
@@ -118,7 +141,7 @@ class Split:
             self.starts = self.ends = self.distinct = np.zeros(0, np.int64)
             self.token = self.row = np.zeros(0, np.int64)
             return
-        self.starts = starts = boundaries(points, text_starts)
+        self.starts = starts = boundaries(points, text_starts, fixes)
         self.ends = ends = np.append(starts[1:], len(points))
         lengths = ends - starts
         position = np.arange(len(points)) - np.repeat(starts, lengths)
@@ -135,13 +158,13 @@ class Split:
         return [self.text[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
 
 
-def pretokens(docs: DataFrame, specials: tuple[str, ...]) -> DataFrame:
+def pretokens(docs: DataFrame, specials: tuple[str, ...], fixes: Fixes = ()) -> DataFrame:
     """(token, n): distinct pre-tokens and their frequencies over all of ``docs``."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, "text"):
-                s = Split(batch.column("text").to_pylist(), specials)
+                s = Split(batch.column("text").to_pylist(), specials, fixes)
                 if len(s.distinct):
                     yield pa.RecordBatch.from_arrays([pa.array(s.strings(np.arange(len(s.distinct))), pa.string()), pa.array(np.bincount(s.token))], names=["token", "n"])
 
@@ -172,8 +195,8 @@ def piece_counts(tokens: DataFrame, spec: str) -> DataFrame:
     return map_arrow(tokens, fn, "token string, n long, n_pieces int")
 
 
-def load(path: str) -> tuple[str, tuple[str, ...]]:
-    """A tokenizer file's text, and its special strings. The file must hold a byte-level
+def load(path: str) -> tuple[str, tuple[str, ...], Fixes]:
+    """A tokenizer file's text, its special strings, and its own view of code points. The file must hold a byte-level
     tokenizer that splits by its own pattern; another kind is refused."""
     with open(path, encoding="utf-8") as f:
         spec = f.read(MAX_VOCABULARY_BYTES)
@@ -184,16 +207,16 @@ def load(path: str) -> tuple[str, tuple[str, ...]]:
     added = held.get("added_tokens") or []
     if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in added):
         raise ValueError(f"{path}: added tokens that take their surroundings along are not supported")
-    return spec, tuple(sorted((t["content"] for t in added), key=lambda x: (-len(x), x)))
+    return spec, tuple(sorted((t["content"] for t in added), key=lambda x: (-len(x), x))), fixes_of(_tokenizer(spec).pre_tokenizer)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, row) of every row of ``docs``."""
     spark = docs.sparkSession
-    spec, specials = load(path)
+    spec, specials, fixes = load(path)
     source = id_text(docs, id_col, text_col)
-    table = cut(piece_counts(pretokens(source, specials), spec), "pieces")
-    top = spark.sparkContext.broadcast({r["token"]: r["n_pieces"] for r in table.orderBy(F.desc("n"), "token").limit(head).select("token", "n_pieces").toLocalIterator()})
+    table = cut(piece_counts(pretokens(source, specials, fixes), spec), "pieces")
+    top = spark.sparkContext.broadcast({r["token"]: r["n_pieces"] for r in frequent(table, "n", head).select("token", "n_pieces").collect()})
     rows = source.withColumn("row", F.monotonically_increasing_id())
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +224,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, head: int = HEAD,
         for whole in batches:
             for batch in steps(whole, "text"):
                 texts = batch.column("text").to_pylist()
-                s = Split(texts, specials)
+                s = Split(texts, specials, fixes)
                 n = len(texts)
                 strings = s.strings(np.arange(len(s.distinct)))
                 counts = np.array([known.get(x, -1) for x in strings], np.int64)
