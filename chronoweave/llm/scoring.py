@@ -1,24 +1,27 @@
 """Stupid-backoff scores, computed relationally.
 
-1. Word counts over the whole corpus; its most frequent words, at most ``VOCABULARY``, get ids by rank, all
-   others are the one word <unk>. That bound is the model's, the same at every size.
-2. Count tables of word pairs, partitioned by hash. Pairs of two of the ``HEAD`` most frequent words (or <unk>) are
-   the only ones that can be hot; their table has at most (HEAD + 1)^2 cells and is broadcast.
-   All other pairs' counts are a shuffled table.
-3. Documents' pairs are exploded as (document, pair, times), joined with that table, and
-   summed by document.
+1. Word counts over the whole corpus, by 64-bit hash. Every word counts for itself. The ``KNOWN`` most frequent
+   get ids by rank and are broadcast with their counts; all others (rare below) go by their hash.
+2. Counts of word pairs. Pairs of two of the ``HEAD`` most frequent words are the only ones that can be hot;
+   their table has at most (HEAD + 1)^2 cells and is broadcast.
+3. All other pairs of documents are exploded as (document, pair, times) and sorted by pair, where a run's
+   sum is the pair's count. What a rare word's count is missing for is joined with the table of 1.
+4. Logs are summed by document.
 
 S(w | v) = c(v, w) / c(v) if c(v, w) >= MIN_COUNT, else BACKOFF * c(w) / N; a document's first word has
 its unigram share c(w) / N. A document's score is the mean of log S over its words.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
 
+A caller may bound the vocabulary by ``size``: then all but the ``size`` most frequent words are the one word <unk>.
+
 Defined results. Null or wordless texts: n_words 0, log_prob 0, score null. Rows that repeat
 a doc_id are scored each for itself (and count each for itself).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,29 +32,41 @@ from pyspark.sql import functions as F
 from chronoweave.llm.common import U64, frequent, id_text, map_arrow, steps, words_of
 from chronoweave.runtime import cut
 
-VOCABULARY, HEAD = 65_536, 1024
+#: Words that the model tells apart: all.
+VOCABULARY = math.inf
+#: Words whose counts are broadcast, and those of them whose pairs are.
+KNOWN, HEAD = 65_536, 1024
 MIN_COUNT, BACKOFF = 2, 0.4
+#: Rows whose sums by document a task holds at a time.
+SUMS = 1 << 21
+#: Set in every word's hash, so that as a signed number it is below all ids.
+_RARE = U64(1 << 63)
 
 
 class Vocabulary:
-    """Ids by rank of the most frequent words' hashes; the last id is <unk>."""
+    """Ids by rank of the most frequent words' hashes. Other words are <unk>, the next id, in
+    a ``closed`` vocabulary, else their own (negative) hash."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, head: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, head: int, closed: bool):
         by = np.argsort(hashes)
         self.hashes, self.ids = hashes[by], by.astype(np.int64)
-        self.unknown, self.total = len(hashes), total
+        self.unknown, self.total, self.closed = len(hashes), total, closed
         self.counts = np.append(counts, max(0, total - int(counts.sum()))).astype(np.float64)
         self.head = min(head, self.unknown)
+        #: In a pair's place: what stands before a first word; a document's own row.
+        self.start, self.own = self.unknown + 1, self.unknown + 2
 
     def of(self, words: np.ndarray) -> np.ndarray:
+        words = words | _RARE
+        other = np.full(len(words), self.unknown, np.int64) if self.closed else words.view(np.int64)
         if not len(self.hashes):
-            return np.full(len(words), self.unknown, np.int64)
+            return other
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, self.ids[at], self.unknown)
+        return np.where(self.hashes[at] == words, self.ids[at], other)
 
     def slot(self, ids: np.ndarray) -> np.ndarray:
         """Place in the head's table, or -1; <unk> is in the head."""
-        return np.where(ids < self.head, ids, np.where(ids == self.unknown, self.head, -1))
+        return np.where(ids < 0, -1, np.where(ids < self.head, ids, np.where(ids == self.unknown, self.head, -1)))
 
     def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids and rows of words, and the indices of words that follow another in their row."""
@@ -60,8 +75,9 @@ class Vocabulary:
         follows = np.flatnonzero(rows[1:] == rows[:-1]) + 1 if len(rows) else np.zeros(0, np.int64)
         return ids, rows, follows, np.bincount(rows, minlength=len(texts))
 
-    def log_backoff(self, ids: np.ndarray) -> np.ndarray:
-        return np.log(BACKOFF) + np.log(self.counts[ids]) - np.log(self.total)
+    def log_count(self, ids: np.ndarray) -> np.ndarray:
+        """0 for rare words and for marks."""
+        return np.log(np.where((ids >= 0) & (ids <= self.unknown), self.counts[np.clip(ids, 0, self.unknown)], 1.0))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -70,33 +86,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, "text", 8 << 20):
-                h, n = np.unique(words_of(batch.column("text"))[0], return_counts=True)
+                h, n = np.unique(words_of(batch.column("text"))[0] | _RARE, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     return map_arrow(docs, fn, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def fit_vocabulary(docs: DataFrame, size: int = VOCABULARY, head: int = HEAD) -> Vocabulary:
-    counts = cut(word_counts(docs), "word-counts")
+def fit_vocabulary(counts: DataFrame, size: float = VOCABULARY, head: int = HEAD, known: int = KNOWN) -> Vocabulary:
+    """The words of the stored table ``counts`` that are broadcast."""
+    closed = size != math.inf
     total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = sorted(frequent(counts, "n", size).collect(), key=lambda r: (-r["n"], r["h"]))
-    return Vocabulary(np.array([r["h"] for r in rows], np.int64).view(U64), np.array([r["n"] for r in rows], np.int64), total, head)
-
-
-def _tail(held, head: int):
-    """(pair, n): counts of a step's pairs outside the head."""
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = held.value
-        for whole in batches:
-            for batch in steps(whole, "text", 8 << 20):
-                ids, _, follows, _ = v.pairs(batch.column("text"))
-                a, b = ids[follows - 1], ids[follows]
-                out = (v.slot(a) < 0) | (v.slot(b) < 0)
-                pair, n = np.unique(a[out] * (v.unknown + 1) + b[out], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
-
-    return fn
+    rows = sorted(frequent(counts, "n", size if closed else known).collect(), key=lambda r: (-r["n"], r["h"]))
+    return Vocabulary(np.array([r["h"] for r in rows], np.int64).view(U64), np.array([r["n"] for r in rows], np.int64), total, head, closed)
 
 
 def head_counts(docs: DataFrame, held) -> np.ndarray:
@@ -121,13 +122,13 @@ def head_counts(docs: DataFrame, held) -> np.ndarray:
     return table
 
 
-def score(docs: DataFrame, size: int = VOCABULARY, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, size: float = VOCABULARY, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN) -> DataFrame:
     """(doc_id, n_words, log_prob, score) of every row, under the counts of all rows."""
     spark = docs.sparkSession
     source = id_text(docs, id_col, text_col)
-    held = spark.sparkContext.broadcast(fit_vocabulary(source, size, head))
+    counts = cut(word_counts(source), "word-counts")
+    held = spark.sparkContext.broadcast(fit_vocabulary(counts, size, head, known))
     square = spark.sparkContext.broadcast(head_counts(source, held))
-    table = map_arrow(source, _tail(held, head), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("count"))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, with what the head gives, and one for each of its other pairs."""
@@ -140,50 +141,113 @@ def score(docs: DataFrame, size: int = VOCABULARY, head: int = HEAD, id_col: str
                 first = np.ones(len(ids), bool)
                 first[follows] = False
                 first = np.flatnonzero(first)
-                sure = np.bincount(rows[first], np.log(v.counts[ids[first]]) - np.log(v.total), n) if len(first) else np.zeros(n)
+                sure = np.bincount(rows[first], v.log_count(ids[first]) - np.log(v.total), n) if len(first) else np.zeros(n)
+                rare = first[ids[first] < 0]
                 a, b = ids[follows - 1], ids[follows]
                 sa, sb = v.slot(a), v.slot(b)
                 both = (sa >= 0) & (sb >= 0)
                 c = cells[sa[both] * width + sb[both]]
-                logs = np.where(c >= MIN_COUNT, np.log(np.maximum(c, 1)) - np.log(v.counts[a[both]]), v.log_backoff(b[both]))
+                logs = np.where(c >= MIN_COUNT, np.log(np.maximum(c, 1)) - v.log_count(a[both]), np.log(BACKOFF) + v.log_count(b[both]) - np.log(v.total))
                 sure += np.bincount(rows[follows][both], logs, n) if both.any() else 0
-                by = rows[follows][~both] * ((v.unknown + 1) ** 2) + a[~both] * (v.unknown + 1) + b[~both]
-                by, times = np.unique(by, return_counts=True)
-                owner, pair = by // (v.unknown + 1) ** 2, by % (v.unknown + 1) ** 2
+                owner = np.concatenate([rows[follows][~both], rows[rare]])
+                a = np.concatenate([a[~both], np.full(len(rare), v.start)])
+                b = np.concatenate([b[~both], ids[rare]])
+                by = np.lexsort((b, a, owner))
+                owner, a, b = owner[by], a[by], b[by]
+                new = np.ones(len(by), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                at = np.flatnonzero(new)
+                owner, a, b, times = owner[at], a[at], b[at], np.diff(np.append(at, len(by)))
                 keys = batch.column("row").to_numpy()
-                none = np.full(n, -1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*batch.column("doc_id").to_pylist(), *[None] * len(by)], pa.int64()),
+                        pa.array([*batch.column("doc_id").to_pylist(), *[None] * len(at)], pa.int64()),
                         pa.array(np.concatenate([keys, keys[owner]])),
-                        pa.array(np.concatenate([none - keys, pair])),
+                        # next to b's low bytes, so that a row's changing bytes lie together and compress
+                        pa.array(np.concatenate([keys, np.where(a < 0, a, a << 32)])),
+                        pa.array(np.concatenate([np.full(n, v.own), b])),
                         pa.array(np.concatenate([words, times]).astype(np.int64)),
-                        pa.array(np.concatenate([sure, np.zeros(len(by))])),
+                        pa.array(np.concatenate([sure, np.zeros(len(at))])),
                     ],
-                    names=["doc_id", "row", "pair", "times", "sure"],
+                    names=["doc_id", "row", "a", "b", "times", "sure"],
                 )
 
     rows = source.withColumn("row", F.monotonically_increasing_id())
-    # a document's own row has a negative pair, which the table lacks
-    exploded = map_arrow(rows, explode, "doc_id long, row long, pair long, times long, sure double")
-    joined = exploded.join(table, "pair", "left").select("doc_id", "row", "pair", "times", "sure", "count")
+    exploded = map_arrow(rows, explode, "doc_id long, row long, a long, b long, times long, sure double")
+    # a pair outside the head is no more frequent than the word after the head
+    dealt = exploded.repartition("a", "b").sortWithinPartitions("a", "b")
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By document, what is sure, and (need, weight): log counts of rare words still to be added."""
         v = held.value
-        for batch in batches:
-            pair, times, sure = (batch.column(c).to_numpy() for c in ("pair", "times", "sure"))
-            own = pair < 0
-            count = np.nan_to_num(batch.column("count").cast(pa.float64()).to_numpy(zero_copy_only=False))
-            a, b = np.maximum(pair, 0) // (v.unknown + 1), np.maximum(pair, 0) % (v.unknown + 1)
-            with np.errstate(divide="ignore"):
-                logs = np.where(count >= MIN_COUNT, np.log(np.maximum(count, 1)) - np.log(v.counts[a]), v.log_backoff(b))
-            value = np.where(own, sure, np.where(own, 0, logs) * times)
-            keys, place = np.unique(batch.column("row").to_numpy(), return_inverse=True)
-            words = np.bincount(place, np.where(own, times, 0), len(keys)).astype(np.int64)
-            ids = np.full(len(keys), None, object)
-            ids[place[own]] = np.array(batch.column("doc_id").to_pylist(), object)[own]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids.tolist(), pa.int64()), pa.array(words), pa.array(np.bincount(place, value, len(keys)))], names=["row", "doc_id", "n_words", "log_prob"])
-
-    parts = map_arrow(joined, price, "row long, doc_id long, n_words long, log_prob double")
-    total = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("log_prob").alias("log_prob"))
+        sums, size = [], 0
+
+        def part(row, need, weight, ids, words, value) -> pa.RecordBatch:
+            """Rows without a need go by their number, which no rare word has."""
+            n = len(row)
+            zero = pa.array(np.zeros(n, np.int64))
+            columns = [pa.array(row), pa.array(need), zero if weight is None else pa.array(weight), pa.nulls(n, pa.int64()) if ids is None else ids, zero if words is None else pa.array(words), pa.array(value)]
+            return pa.RecordBatch.from_arrays(columns, names=["row", "need", "weight", "doc_id", "n_words", "log_prob"])
+
+        for batch in _whole_runs(batches):
+            row, a, b, times, sure = (batch.column(c).to_numpy() for c in ("row", "a", "b", "times", "sure"))
+            own = b == v.own
+            a = np.where((a < 0) | own, a, a >> 32)
+            new = np.ones(len(row), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            run = np.cumsum(new) - 1
+            count = np.bincount(run, times)[run]
+            first, seen = a == v.start, count >= MIN_COUNT
+            logs = np.where(seen, np.log(np.maximum(count, 1)) - v.log_count(np.where(own, 0, a)), np.log(BACKOFF) + v.log_count(b) - np.log(v.total))
+            value = np.where(own | first, 0.0, logs * times)  # a first word's share of N is sure
+            word = np.where(seen & ~first, a, b)
+            open_ = np.flatnonzero(~own & (word < 0))
+            if len(open_):
+                yield part(row[open_], word[open_], np.where(seen & ~first, -times, times)[open_], None, None, np.zeros(len(open_)))
+            if own.any():
+                yield part(row[own], row[own], None, batch.column("doc_id").filter(pa.array(own)), times[own], sure[own])
+            sums.append((row, value))
+            size += len(row)
+            if size >= SUMS:
+                sums = [_summed(sums)]
+                size = len(sums[0][0])
+                if size >= SUMS // 2:
+                    yield part(sums[0][0], sums[0][0], None, None, None, sums[0][1])
+                    sums, size = [], 0
+        if sums:
+            keys, value = _summed(sums)
+            yield part(keys, keys, None, None, None, value)
+
+    parts = map_arrow(dealt, price, "row long, need long, weight long, doc_id long, n_words long, log_prob double")
+    parts = parts.join(counts.withColumnRenamed("h", "need"), "need", "left")
+    log_prob = F.col("log_prob") + F.coalesce(F.col("weight") * F.log("n"), F.lit(0.0))
+    total = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum(log_prob).alias("log_prob"))
     return total.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("score"))
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values by key."""
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([x for _, x in parts]), len(keys))
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted rows of ``batches``, cut anew so that no run of a pair is parted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+        change = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+        last = int(change[-1]) if len(change) else 0
+        if held:
+            end = held[-1].slice(held[-1].num_rows - 1)
+            if end.column("a")[0].as_py() != a[0] or end.column("b")[0].as_py() != b[0]:
+                yield pa.concat_batches(held)
+                held = []
+        if last:
+            yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.concat_batches(held)

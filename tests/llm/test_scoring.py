@@ -58,3 +58,20 @@ def test_query(spark, sf):
     want = {d: (n, s) for d, n, s in brute(docs, scoring.VOCABULARY)}
     for r in queries.QUERIES["op4_lm_scoring"](spark, sf).collect():
         assert r["n_words"] == want[r["doc_id"]][0] and r["log_prob"] == pytest.approx(want[r["doc_id"]][1], rel=1e-9)
+
+
+@pytest.mark.parametrize(("head", "known"), [(0, 0), (3, 0), (5, 20), (20, 20), (1024, 65_536)])
+def test_every_word_counts_for_itself(spark, head, known):
+    rng = random.Random(head + known)
+    pool = [f"w{int(rng.paretovariate(0.4)) % 2000}" for _ in range(6000)]
+    docs = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 60)))) for i in range(150)]
+    docs += [(900, None), (902, "only here"), (903, "new pair " * 12_000), (904, "new pair new new"), (905, "qzx vkw " * 3)]
+    got = {r["doc_id"]: r["log_prob"] for r in scoring.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), head=head, known=known).collect()}
+    assert got == {d: pytest.approx(s, rel=1e-9, abs=1e-6) for d, _, s in brute(docs, math.inf)}
+
+
+def test_words_beyond_the_broadcast_ones(spark):
+    """More distinct words than are broadcast: rare ones aren't merged."""
+    docs = [(i, " ".join(f"v{i * 100 + k}" for k in range(100))) for i in range(700)] + [(1000 + i, "v5 v6 v7") for i in range(3)]
+    got = {r["doc_id"]: r["log_prob"] for r in scoring.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: pytest.approx(s, rel=1e-9) for d, _, s in brute(docs, math.inf)}
