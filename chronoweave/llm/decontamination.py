@@ -3,8 +3,8 @@
 Fixed masks of ``SPAN`` words ignore some positions, so a window still hashes alike when ignored
 words were substituted. Hashes of benchmark windows meet those of documents; around
 each hit the two texts are laid against each other on the hit's diagonal, and the best
-run (a match counts 1, a substitution costs ``COST``) decides. Words are runs of ASCII letters,
-digits and non-ASCII characters, A-Z lower-cased.
+run (a match counts 1, a substitution costs ``COST``) decides. Texts are case-folded as Unicode
+has it and in form NFC; words are what marks, symbols and spaces, of ASCII or not, separate.
 
 Where the benchmark's windows are ``MAX_BROADCAST`` at most, their sorted hashes are
 broadcast and documents are read once, without a shuffle. Beyond that bound documents' window
@@ -17,6 +17,8 @@ are clean. A document that matches no item has no row.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,23 @@ MAX_BROADCAST = 2_000_000
 Hit = tuple[int, int, int, int, int]
 
 
+def folded(texts: pa.Array) -> pa.Array:
+    """Texts without case, in form NFC, with spaces for non-ASCII marks, symbols and spaces;
+    ASCII texts are as they are."""
+    found = [t or "" for t in texts.to_pylist()]
+    other = [i for i, t in enumerate(found) if not t.isascii()]
+    if not other:
+        return texts
+    for i in other:
+        found[i] = unicodedata.normalize("NFC", found[i].casefold())
+    marks = [c for c in set().union(*(found[i] for i in other)) if c > "\x7f" and unicodedata.category(c)[0] in "PSZ"]
+    if marks:
+        spaces = re.compile(f"[{''.join(map(re.escape, sorted(marks)))}]").sub
+        for i in other:
+            found[i] = spaces(" ", found[i])
+    return pa.array(found, pa.large_string())
+
+
 def seeds(words: np.ndarray, rows: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Window hashes and the word index where each window starts: every mask over every
     window within a row, and plain windows of the lengths in ``short``."""
@@ -90,7 +109,7 @@ class Benchmark:
     """Items' words, and their window hashes sorted for look-up."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        words, rows, _, _ = words_of(pa.array(texts, pa.string()), marks_too=True)
+        words, rows, _, _ = words_of(folded(pa.array(texts, pa.string())), marks_too=True)
         counts = np.bincount(rows, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
         self.ids = np.array(ids, np.int64)
         self.ends = np.cumsum(counts)
@@ -128,7 +147,7 @@ def _plain(words: np.ndarray, rows: np.ndarray, n: int, counts: np.ndarray) -> n
 
 def overlaps(bench: Benchmark, texts: pa.Array) -> dict[int, list[Hit]]:
     """By row: (item_id, first word, last word + 1, matches, words of the item)."""
-    words, rows, _, _ = words_of(texts, marks_too=True)
+    words, rows, _, _ = words_of(folded(texts), marks_too=True)
     hashes, places = seeds(words, rows, bench.short)
     maybe = np.flatnonzero(bench.bits[(hashes & U64((1 << 22) - 1)).astype(np.int64)])
     left = np.searchsorted(bench.hashes, hashes[maybe], "left")
@@ -201,7 +220,7 @@ def _shuffled(source: DataFrame, items: DataFrame) -> DataFrame:
         def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in steps(whole, "text"):
-                    words, rows, _, _ = words_of(batch.column("text"), marks_too=True)
+                    words, rows, _, _ = words_of(folded(batch.column("text")), marks_too=True)
                     h, places = seeds(words, rows, short)
                     key = batch.column(0).to_numpy()[rows[places]] if len(places) else np.zeros(0, np.int64)
                     _, one = np.unique(np.stack([h.view(np.int64), key]), axis=1, return_index=True)

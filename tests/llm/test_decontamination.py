@@ -64,3 +64,18 @@ def test_query_against_plain_search(spark, sf):
     want = {r["doc_id"]: ids for r in docs if (ids := sorted(i["item_id"] for i in items if f" {norm(i['text'])} " in f" {norm(r['text'])} "))}
     got = {r["doc_id"]: r["item_ids"] for r in queries.QUERIES["op10_decontamination"](spark, sf).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("most", [d.MAX_BROADCAST, 0])
+def test_case_and_marks_beyond_ascii(spark, most):
+    import unicodedata
+
+    rng = random.Random(8)
+    stems = ["señor", "canción", "über", "straße", "élan", "año", "naïve", "œuvre", "plain", "čas"]
+    item = " ".join(f"{rng.choice(stems)}{chr(97 + rng.randrange(26))}{rng.choice(stems)}" for _ in range(26))
+    texts = [item, item.upper(), item.title(), unicodedata.normalize("NFD", item.upper()), item.replace(" ", "—"), "«" + item.upper().replace(" ", "»\u00a0“") + "”", "ÑANDÚ " * 40, None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "CINCO PALABRAS ÑU ÓSEA ÜB")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_ids"], r["max_share"]) for r in d.contaminated(docs, bench, max_broadcast=most).collect()) == [(i, [7], 1.0) for i in range(6)]
+    short = spark.createDataFrame([(1, "son cinco palabras ñu ósea üb aquí")], "doc_id long, text string")
+    assert [r["item_ids"] for r in d.contaminated(short, bench, max_broadcast=most).collect()] == [[8]]
