@@ -2,8 +2,8 @@
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, give each URL a
 length-normalised difference of log-likelihoods; a threshold calibrated on held-out labelled
-URLs turns it into a verdict. Counts cover every labelled URL (those that a rule decides). They lie in hashed tables
-of ``BUCKETS`` cells, so a model has the same size whatever the input's.
+URLs turns it into a verdict. Counts cover every labelled URL (those that a rule decides), one for each
+distinct context and (context, byte) by 64-bit hash, so a model grows with the number of those.
 
 Defined results. Null URLs, or URLs without ``://``: empty host and path, no rule; the models
 judge what there is, and the empty URL is allowed. Nothing to learn from on one side: the other
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from chronoweave.llm.common import U64, bytes_of, map_arrow, mix
 
 ORDER = 4
-BUCKETS = 1 << 16
 #: Pseudo-counts that the next shorter context's estimate weighs.
 STRENGTH = 2.0
 #: Scores' bins for calibration, over [-BOUND, BOUND].
@@ -68,7 +67,7 @@ def apply_rules(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_i
 
 
 def _contexts(array: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order, the cell of each (context, byte) and of each context; rows; lengths.
+    """For each order, the hash of each (context, byte) and of each context; rows; lengths.
 
     A URL is its lower-cased bytes after the scheme with an end mark; contexts don't reach
     over its start."""
@@ -90,24 +89,35 @@ def _contexts(array: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.n
                 before = np.zeros(len(symbols), U64)
                 before[k:] = symbols[:-k]
                 h = np.where(place >= k, mix(h * U64(0x9E3779B97F4A7C15) + before + U64(k)), h)
-            pairs.append((mix(h + (symbols + U64(1)) * U64(0xD6E8FEB86659FD93)) % U64(BUCKETS)).astype(np.int64))
-            contexts.append((mix(h ^ U64(0x5851F42D4C957F2D)) % U64(BUCKETS)).astype(np.int64))
+            pairs.append(mix(h + (symbols + U64(1)) * U64(0xD6E8FEB86659FD93)))
+            contexts.append(mix(h ^ U64(0x5851F42D4C957F2D)))
     return pairs, contexts, rows, lengths
 
 
-def _log_likelihood(tables: np.ndarray, pairs: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
+#: Sorted hashes and their counts.
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def _count(table: Counts, hashes: np.ndarray) -> np.ndarray:
+    keys, counts = table
+    if not len(keys):
+        return np.zeros(len(hashes))
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, counts[at], 0)
+
+
+def _log_likelihood(tables: list[list[Counts]], pairs: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
     p = np.full(len(pairs[0]), 1 / 257)
     for k in range(ORDER + 1):
-        p = (tables[0, k][pairs[k]] + STRENGTH * p) / (tables[1, k][contexts[k]] + STRENGTH)
-    # cells that several share may sum above 1
-    return np.log(np.minimum(p, 1.0))
+        p = (_count(tables[0][k], pairs[k]) + STRENGTH * p) / (_count(tables[1][k], contexts[k]) + STRENGTH)
+    return np.log(p)
 
 
 @dataclass(frozen=True)
 class UrlModel:
-    """tables[side][0 pairs, 1 contexts][order][cell], sides 0 accepted and 1 rejected."""
+    """tables[side][0 pairs, 1 contexts][order], sides 0 accepted and 1 rejected."""
 
-    tables: np.ndarray
+    tables: list[list[list[Counts]]]
     threshold: float
     constant: str | None = None
 
@@ -130,7 +140,6 @@ def fit(labelled: DataFrame) -> UrlModel:
     rows = rows.withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, ORDER + 1, BUCKETS), np.int64)
         for batch in batches:
             side = batch.column("side").to_numpy()
             for s in (0, 1):
@@ -139,18 +148,20 @@ def fit(labelled: DataFrame) -> UrlModel:
                     continue
                 pairs, contexts, _, _ = _contexts(part)
                 for k in range(ORDER + 1):
-                    total[s, 0, k] += np.bincount(pairs[k], minlength=BUCKETS)
-                    total[s, 1, k] += np.bincount(contexts[k], minlength=BUCKETS)
-        flat = total.reshape(-1)
-        cells = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(flat[cells])], names=["cell", "n"])
+                    for kind, hashes in enumerate((pairs[k], contexts[k])):
+                        h, n = np.unique(hashes, return_counts=True)
+                        table = np.full(len(h), (s * 2 + kind) * (ORDER + 1) + k, np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(table), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["table", "h", "n"])
 
     spark = labelled.sparkSession
-    cells = map_arrow(rows.where("not held").select("url", "side"), counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    tables = np.zeros(2 * 2 * (ORDER + 1) * BUCKETS, np.float32)
-    tables[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    tables = tables.reshape(2, 2, ORDER + 1, BUCKETS)
-    seen = [tables[s, 0].any() for s in (0, 1)]
+    found = map_arrow(rows.where("not held").select("url", "side"), counts, "table int, h long, n long").groupBy("table", "h").agg(F.sum("n").alias("n")).toArrow()
+    table, h, n = found.column("table").to_numpy(), found.column("h").to_numpy().view(U64), found.column("n").to_numpy()
+    by = np.lexsort((h, table))
+    table, h, n = table[by], h[by], n[by]
+    ends = np.searchsorted(table, np.arange(4 * (ORDER + 1) + 1))
+    flat_tables = [(h[i:j], n[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    tables = [[flat_tables[(s * 2 + kind) * (ORDER + 1) :][: ORDER + 1] for kind in (0, 1)] for s in (0, 1)]
+    seen = [len(tables[s][0][0][0]) > 0 for s in (0, 1)]
     if not all(seen):
         return UrlModel(tables, 0.0, "block" if seen[1] else "allow")
     held = spark.sparkContext.broadcast(UrlModel(tables, 0.0))

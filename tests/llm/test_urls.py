@@ -1,4 +1,9 @@
+import math
+import random
 import re
+from collections import Counter
+
+import pytest
 
 from chronoweave.llm import queries, urls
 
@@ -60,3 +65,41 @@ def test_query(spark, sf):
     for r in got:
         host, path, rule, verdict = brute(pages[r["page_id"]])
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and (verdict is None or r["verdict"] == verdict)
+
+
+def test_counts_of_many_contexts_are_exact(spark):
+    """More distinct contexts than 2^16 hashed cells keep apart."""
+    rng = random.Random(4)
+    make = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-/") for _ in range(60))
+    sides = [[make() for _ in range(2500)] for _ in range(2)]
+    labelled = spark.createDataFrame([(u, s == 0) for s in (0, 1) for u in sides[s]], "url string, accepted boolean")
+    held = {r["url"] for r in labelled.where(f"pmod(xxhash64(url), {urls.HELD_OUT}) = 0").select("url").collect()}
+    pairs, contexts = ([Counter(), Counter()] for _ in range(2))
+
+    def walk(url):
+        symbols = (*url.encode(), "end")
+        for i, c in enumerate(symbols):
+            yield c, [symbols[max(0, i - k) : i] for k in range(urls.ORDER + 1)]
+
+    for s in (0, 1):
+        for url in sides[s]:
+            for c, before in walk(url) if url not in held else ():
+                for k, context in enumerate(before):
+                    pairs[s][k, context, c] += 1
+                    contexts[s][k, context] += 1
+    assert len(pairs[0]) > 1 << 16
+
+    def log_likelihood(s, url):
+        total = 0
+        for c, before in walk(url):
+            p = 1 / 257
+            for k, context in enumerate(before):
+                p = (pairs[s][k, context, c] + urls.STRENGTH * p) / (contexts[s][k, context] + urls.STRENGTH)
+            total += math.log(p)
+        return total
+
+    import pyarrow as pa
+
+    probes = [*sides[0][:20], *sides[1][:20], make(), "x"]
+    want = [(log_likelihood(0, u) - log_likelihood(1, u)) / (len(u) + 1) for u in probes]
+    assert urls.fit(labelled).scores(pa.array(probes)).tolist() == pytest.approx(want)
