@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from chronoweave.llm import language, queries
@@ -36,3 +37,17 @@ def test_one_language(spark):
 def test_same_model_from_any_layout(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert language.fit(docs) == language.fit(docs.repartition(7))
+
+
+def test_long_varied_text_keeps_its_margin(spark):
+    rng = random.Random(6)
+    pools = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 10))) for _ in range(3000)] for lang, letters in (("en", "etaoinshrdlu"), ("de", "enisratdhulc"))}
+    text = lambda lang, n: " ".join(rng.choice(pools[lang]) for _ in range(n))
+    df = spark.createDataFrame([(i, text(lang, 200), lang) for i, lang in enumerate(["en", "de"] * 60)], "doc_id long, text string, lang string")
+    model = language.fit(df)
+    tools = language.compressors(model)
+    margins = {n: language.judge(text("en", n), model, tools) for n in (10_000, 600_000)}
+    assert all(lang == "en" for lang, _ in margins.values())
+    assert margins[600_000][1] > 0.5 * margins[10_000][1] and margins[600_000][1] >= language.MIN_MARGIN
+    probe = spark.createDataFrame([(1, text("de", 600_000))], "doc_id long, text string")
+    assert language.identify(probe, model).select("lang_pred", "accepted").first() == ("de", True)
