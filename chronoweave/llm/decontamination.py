@@ -3,7 +3,9 @@
 Fixed masks of ``SPAN`` words ignore some positions, so a window still hashes alike when ignored
 words were substituted. Hashes of benchmark windows meet those of documents; around
 each hit the two texts are laid against each other on the hit's diagonal, and the best
-run (a match counts 1, a substitution costs ``COST``) decides. Texts are case-folded as Unicode
+run (a match counts 1, a substitution costs ``COST``) decides: it must match half of the item or
+``MIN_WHOLE`` words. Runs on diagonals within ``NEAR`` of each other, which inserted or missing words
+part, are added up. Texts are case-folded as Unicode
 has it and in form NFC; words are what marks, symbols and spaces, of ASCII or not, separate.
 
 Where the benchmark's windows are ``MAX_BROADCAST`` at most, their sorted hashes are
@@ -35,8 +37,10 @@ MASKS = ("11011010011", "11100101101", "10110101011")
 MIN_WORDS = 5
 #: A run must have this share of matching words, and this many words or the whole item,
 MIN_IDENTITY, MIN_RUN = 0.8, 12
-#: and cover this share of the item.
-MIN_SHARE = 0.5
+#: and cover this share of the item, or this many of its words.
+MIN_SHARE, MIN_WHOLE = 0.5, 13
+#: Diagonals this close are one copy with words inserted or left out; runs of so many matches add up.
+NEAR, MIN_PIECE = 4, 4
 COST = 2.0
 MAX_BROADCAST = 2_000_000
 
@@ -102,7 +106,28 @@ def verified(run: tuple[int, int, int] | None, n_item: int) -> bool:
     length, matches = run[1] - run[0], run[2]
     if n_item < SPAN:
         return matches == n_item
-    return length >= min(n_item, MIN_RUN) and matches >= MIN_IDENTITY * length and matches >= MIN_SHARE * n_item
+    return length >= min(n_item, MIN_RUN) and matches >= MIN_IDENTITY * length and matches >= min(MIN_SHARE * n_item, MIN_WHOLE)
+
+
+def added_up(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int, int] | None:
+    """First and last + 1 word in ``doc``, and matches, of the runs on close diagonals together."""
+    best = None
+    for chain in np.split(np.array(diagonals), np.flatnonzero(np.diff(diagonals) > NEAR) + 1):
+        around = sorted({int(x) + k for x in chain for k in range(-NEAR, NEAR + 1)})
+        of_item, of_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+        for diagonal in around:
+            run = best_run(doc, item, diagonal)
+            if run is None or run[2] < MIN_PIECE or run[2] < MIN_IDENTITY * (run[1] - run[0]):
+                continue
+            at = np.arange(run[0], run[1])
+            at = at[doc[at] == item[at - diagonal]]
+            of_doc[at] = True
+            of_item[at - diagonal] = True
+        places = np.flatnonzero(of_doc)
+        matches = int(min(of_item.sum(), len(places)))
+        if matches and (best is None or best[2] < matches):
+            best = int(places[0]), int(places[-1]) + 1, matches
+    return best
 
 
 class Benchmark:
@@ -153,21 +178,23 @@ def overlaps(bench: Benchmark, texts: pa.Array) -> dict[int, list[Hit]]:
     left = np.searchsorted(bench.hashes, hashes[maybe], "left")
     right = np.searchsorted(bench.hashes, hashes[maybe], "right")
     starts = np.searchsorted(rows, np.arange(len(texts) + 1))
-    tried: set[tuple[int, int, int]] = set()
-    best: dict[tuple[int, int], Hit] = {}
+    hit: dict[tuple[int, int], set[int]] = {}
     for m, a, b in zip(maybe[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist(), strict=True):
         place = int(places[m])
         row = int(rows[place])
-        first = int(starts[row])
         for k in range(a, b):
-            item, diagonal = int(bench.item[k]), place - first - int(bench.at[k])
-            if (row, item, diagonal) in tried:
-                continue
-            tried.add((row, item, diagonal))
-            target = bench.of(item)
-            run = best_run(words[first : int(starts[row + 1])], target, diagonal)
-            if verified(run, len(target)) and ((row, item) not in best or best[row, item][3] < run[2]):
-                best[row, item] = (int(bench.ids[item]), *run, len(target))
+            hit.setdefault((row, int(bench.item[k])), set()).add(place - int(starts[row]) - int(bench.at[k]))
+    best: dict[tuple[int, int], Hit] = {}
+    for (row, item), diagonals in hit.items():
+        doc, target = words[int(starts[row]) : int(starts[row + 1])], bench.of(item)
+        runs = [run for x in sorted(diagonals) if verified(run := best_run(doc, target, x), len(target))]
+        # a copy with words inserted or left out lies on several diagonals
+        if len(target) >= SPAN and max((run[2] for run in runs), default=0) < len(target):
+            whole = added_up(doc, target, sorted(diagonals))
+            if whole and whole[2] >= min(max(MIN_SHARE * len(target), MIN_RUN), MIN_WHOLE) and whole[2] >= MIN_SHARE * (whole[1] - whole[0]):
+                runs.append(whole)
+        if runs:
+            best[row, item] = (int(bench.ids[item]), *max(runs, key=lambda run: run[2]), len(target))
     out: dict[int, list[Hit]] = {}
     for (row, _), hit in sorted(best.items()):
         out.setdefault(row, []).append(hit)

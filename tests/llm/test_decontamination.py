@@ -79,3 +79,20 @@ def test_case_and_marks_beyond_ascii(spark, most):
     assert sorted((r["doc_id"], r["item_ids"], r["max_share"]) for r in d.contaminated(docs, bench, max_broadcast=most).collect()) == [(i, [7], 1.0) for i in range(6)]
     short = spark.createDataFrame([(1, "son cinco palabras ñu ósea üb aquí")], "doc_id long, text string")
     assert [r["item_ids"] for r in d.contaminated(short, bench, max_broadcast=most).collect()] == [[8]]
+
+
+@pytest.mark.parametrize("most", [d.MAX_BROADCAST, 0])
+def test_partial_and_parted_copies(spark, most):
+    rng = random.Random(12)
+    short, middle, long = words(rng, 36), words(rng, 59), words(rng, 400)
+    noise = lambda: words(rng, 40)
+    parted = [*short[:12], "in", *short[12:24], "between", *short[24:]]
+    gone = [*short[:12], *short[14:26], *short[28:]]
+    texts = [[*noise(), *middle[10:39], *noise()], [*noise(), *long[100:290], *noise()], [*noise(), *parted, *noise()], [*noise(), *gone], parted, [*noise(), *middle[:9], *noise()], noise()]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((short, middle, long))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in d.contaminated(docs, bench, max_broadcast=most).collect()}
+    assert {i: r["item_ids"] for i, r in got.items()} == {0: [1], 1: [2], 2: [0], 3: [0], 4: [0]}
+    assert got[2]["max_share"] == got[4]["max_share"] == 1.0 and got[0]["max_share"] == pytest.approx(29 / 59)
+    for r in got.values():
+        assert all(o["matches"] <= o["end_word"] - o["first_word"] for o in r["overlaps"])
