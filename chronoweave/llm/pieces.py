@@ -6,7 +6,8 @@ reaches over some boundaries (checked against the vocabulary when the model is l
 a space mark that follows another character, and around a line feed. So a text's ids are the
 ids of its segments between such boundaries, which the library encodes once for each distinct
 segment and worker; pieces' lengths add up to spans, and the alignment carries those back to
-the original.
+the original. That holds for models whose character map is empty, as the query's is; texts of
+models with a map go whole to the library, whose own pieces and spans are taken.
 
 The vocabulary file's path is a parameter. Where executors lack the file its bytes, which the
 driver reads, are broadcast (models are some MB at most, checked by ``MAX_MODEL_BYTES``).
