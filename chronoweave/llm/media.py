@@ -6,7 +6,8 @@ bytes; the last frames use smaller bit rates, so the stream is variable and begi
 Xing table. Tags (ID3v2 before, ID3v1 behind) and a CRC in every frame are written too.
 
 The parser takes any MPEG audio: it skips and reads tags, resynchronises on frame headers
-that a second header confirms, reads Xing/Info and VBRI tables, verifies checksums, and stores
+that a second header confirms, reads Xing/Info and VBRI tables, verifies checksums of Layer III
+(those of protected Layer I and II frames are neither checked nor counted), and stores
 exact durations (samples over rate, as a fraction) and the byte offsets of frames.
 
 Defined results. Null text: as the empty text, which is one unit of padding. Bytes without
