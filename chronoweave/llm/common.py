@@ -141,14 +141,18 @@ def windows(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np
     return h[keep], rows[:total][keep]
 
 
-#: Rows of ids or pairs up to which a join may broadcast them: some tens of MB.
-BROADCAST_ROWS = 1_000_000
-
-
-def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has ``rows`` rows at most. Its rows should be narrow and
-    stored already, so that counting them is cheap; beyond the bound joins shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Bytes of rows up to which a join may broadcast them.
+BROADCAST_BYTES = 32 << 20
+
+
+def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if its rows take ``most`` bytes at most. Its columns must be of
+    fixed width (8 bytes each and 16 a row in a hash table), and its rows should be stored already, so
+    that counting them is cheap; beyond the bound joins shuffle."""
+    wide = [f.name for f in df.schema if f.dataType.typeName() not in ("long", "integer", "short", "byte", "double", "float", "boolean")]
+    if wide:
+        raise ValueError(f"columns of no fixed width can't be checked by counting: {wide}")
+    return F.broadcast(df) if df.count() * (16 + 8 * len(df.columns)) <= most else df
 
 
 def frequent(df: DataFrame, column: str, most: int) -> DataFrame:

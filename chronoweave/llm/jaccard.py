@@ -9,11 +9,19 @@ shared passages seldom reach a prefix.
 * The first order's prefixes are grouped by shingle. Stars, not pairs, leave a group: each
   member with the group's leader; members that are already connected to it are passed over. A member
   keeps the leader it shares most with, and after verification components grow.
-* After some star rounds with other leaders, what remains are pairs between different components.
-  Those, and only those, are then enumerated, must share as many prefix shingles as their sizes
-  ask for (each shared shingle outside both prefixes lies in the shorter prefix's rest), and
-  must meet the other orders' prefix filters as well, before their sets are
-  intersected. So no link between components is lost, and no group's pairs are all made.
+* After the star rounds only pairs between different components remain. A class that can be in
+  one shares enough prefix shingles with other components' classes of some band of sizes: as many as the
+  band's sizes ask for, less what fits outside the prefixes. Such classes give all their shingles, which are put in a third
+  kind of order: by the exact number of those classes that hold them, and those that one component
+  alone holds come first. What a class shares with no other component then fills its prefix, so
+  that an edited copy below the threshold seldom has a shared shingle in it, and the position of one
+  that it has bounds the overlap closely. Pairs come from these prefixes,
+  must share as many first-order prefix shingles as their sizes ask for, and must meet the
+  other orders' prefix filters as well, before their sets are intersected. So no link between
+  components is lost, and no group's pairs are all made.
+
+Classes go by 64 bits of a 128-bit digest of their set; where two digests agree in those, which is
+found by counting, the other 64 bits stand in.
 
 Sizes in 100ths: two sets link if 100 * intersection >= ``threshold`` * union.
 
@@ -30,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import U64, checked, frequent, id_text, map_arrow, mix, steps, windows, words_of
@@ -73,25 +82,36 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
     return h, of, np.bincount(of, minlength=len(texts)) if len(of) else np.zeros(len(texts), np.int64)
 
 
-def _classes(h: np.ndarray, counts: np.ndarray) -> list[int | None]:
-    """A 64-bit name (signed) of each row's set."""
+def _digests(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit digest of each row's set."""
     ends = np.cumsum(counts)
     data = h.view(np.uint8)
-    return [xxhash.xxh3_64_intdigest(data[8 * (e - n) : 8 * e]) - 2**63 if n else None for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+    raw = b"".join(xxhash.xxh3_128_digest(data[8 * (e - n) : 8 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True))
+    both = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _classes(h: np.ndarray, counts: np.ndarray, clash: list[int]) -> list[int | None]:
+    """The name of each row's class: the digest's first half, or its second for names in ``clash``."""
+    first, second = _digests(h, counts)
+    if clash:
+        first = np.where(np.isin(first, clash), second, first)
+    return [c if n else None for c, n in zip(first.tolist(), counts.tolist(), strict=True)]
 
 
 def _signatures(width: int):
-    """Rows of two kinds: documents (doc_id, n, cls), and proposals of heavy shingles (token, n)."""
+    """Rows of two kinds: documents (doc_id, n, both halves of the digest), and proposals of heavy shingles (token, n)."""
 
-    def rows(kind: int, a: np.ndarray | list, n: np.ndarray, cls: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["kind", "id", "n", "cls"])
+    def rows(kind: int, a: np.ndarray | list, n: np.ndarray, cls: pa.Array, other: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(a, pa.int64()), pa.array(n, pa.int64()), cls, other], names=["kind", "id", "n", "cls", "other"])
 
     def heavy(block: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         tokens, n = np.unique(np.concatenate(block), return_counts=True)
         often = np.flatnonzero(n >= HEAVY_FROM)
         often = often[np.argsort(-n[often], kind="stable")][: HEAVY // 4]
         if len(often):
-            yield rows(1, tokens[often].view(np.int64), n[often], [None] * len(often))
+            none = pa.nulls(len(often), pa.int64())
+            yield rows(1, tokens[often].view(np.int64), n[often], none, none)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -100,9 +120,9 @@ def _signatures(width: int):
         for whole in batches:
             for batch in steps(whole, "text"):
                 h, of, counts = shingle_sets(batch.column("text"), width)
-                names = _classes(h, counts)
-                yield rows(0, batch.column("doc_id").cast(pa.int64()), counts, names)
-                new = np.array([not (c is None or c in seen or seen.add(c)) for c in names], bool)
+                first, second = _digests(h, counts)
+                yield rows(0, batch.column("doc_id").cast(pa.int64()), counts, pa.array(first, mask=counts == 0), pa.array(second, mask=counts == 0))
+                new = np.array([n > 0 and not (c in seen or seen.add(c)) for c, n in zip(first.tolist(), counts.tolist(), strict=True)], bool)
                 block.append(h[new[of]])
                 held += len(block[-1])
                 if held >= HEAVY_BLOCK:
@@ -141,7 +161,7 @@ class Orders:
         return h[np.lexsort((h, key))[:p]]
 
 
-def _prefixes(held, width: int, threshold: int, salts: int):
+def _prefixes(held, width: int, threshold: int, salts: int, clash: list[int]):
     """(token, salt, cls, n, pos): the first order's prefix rows, each class once a task."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +170,7 @@ def _prefixes(held, width: int, threshold: int, salts: int):
         for whole in batches:
             for batch in steps(whole, "text"):
                 h, of, counts = shingle_sets(batch.column("text"), width)
-                names = _classes(h, counts)
+                names = _classes(h, counts, clash)
                 new = np.array([not (c is None or c in seen or seen.add(c)) for c in names], bool)
                 keep = new[of]
                 h, of = h[keep], of[keep]
@@ -210,27 +230,29 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(data, pa.binary())], names=["cls", "n", "shingles"])
 
 
-def _sets(width: int):
-    """A class's set from the text of its first document; a repeated doc_id with another text is passed over."""
+def _sets(width: int, clash: list[int]):
+    """A class's set from the text of its first document. ``cls`` is what is asked for, if a
+    document was named for it: a repeated doc_id with another text is passed over."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, "text"):
                 h, _, counts = shingle_sets(batch.column("text"), width)
                 ends = np.cumsum(counts)
-                own = [a == b for a, b in zip(batch.column("cls").to_pylist(), _classes(h, counts), strict=True)]
+                names = _classes(h, counts, clash)
+                own = [b is not None and (a is None or a == b) for a, b in zip(batch.column("cls").to_pylist(), names, strict=True)]
                 data = [h[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                made = pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(counts.astype(np.int32)), pa.array(data, pa.binary())], names=["cls", "n", "shingles"])
+                made = pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(counts.astype(np.int32)), pa.array(data, pa.binary())], names=["cls", "n", "shingles"])
                 yield made.filter(pa.array(own, pa.bool_()))
 
     return fn
 
 
 class Sets:
-    """Whole sets of classes, read from texts when a verification first asks for them."""
+    """Whole sets of classes, read from texts when first asked for."""
 
-    def __init__(self, docs: DataFrame, first: DataFrame, width: int):
-        self.docs, self.first, self.width = docs.where("doc_id is not null"), first, width
+    def __init__(self, docs: DataFrame, first: DataFrame, width: int, clash: list[int]):
+        self.docs, self.first, self.fn = docs, first, _sets(width, clash)
         self.tables: list[DataFrame] = []
 
     def all(self) -> DataFrame:
@@ -239,15 +261,20 @@ class Sets:
             out = out.union(t)
         return out
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """(cls, n, shingles) with those of ``pairs`` (u, v) among them."""
-        wanted = pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(cls, n, shingles) with those of ``wanted`` (cls, distinct) among them."""
         if self.tables:
             wanted = wanted.join(self.all().select("cls"), "cls", "left_anti")
         missing = cut(self.first.join(wanted, "cls"), "wanted-classes")
         if not self.tables or not missing.isEmpty():
-            texts = self.docs.join(checked(missing), "doc_id").select("cls", "text")
-            self.tables.append(cut(map_arrow(texts, _sets(self.width), "cls long, n int, shingles binary"), "shingle-sets"))
+            schema = "cls long, n int, shingles binary"
+            texts = self.docs.join(checked(missing.where("doc_id is not null")), "doc_id").select("cls", "text")
+            found = map_arrow(texts, self.fn, schema)
+            nameless = missing.where("doc_id is null").select("cls")
+            if not nameless.isEmpty():  # rows without a doc_id are looked through for their classes
+                own = map_arrow(self.docs.where("doc_id is null").select(F.lit(None).cast("long").alias("cls"), "text"), self.fn, schema)
+                found = found.union(own.join(checked(nameless), "cls", "left_semi").dropDuplicates(["cls"]))
+            self.tables.append(cut(found, "shingle-sets"))
         discard(missing)
         return self.all()
 
@@ -340,7 +367,8 @@ def _met(pairs: DataFrame, sets: DataFrame, test, name: str) -> DataFrame:
 def verify(pairs: DataFrame, prefixes: DataFrame, sets: Sets, held, threshold: int) -> DataFrame:
     """The (x, y) of ``pairs`` that link: first by prefixes, which are short, then by whole sets."""
     hopeful = _met(pairs, prefixes, _promising(threshold), "hopeful")
-    out = _met(hopeful.select(F.col("u").alias("x"), F.col("v").alias("y")), sets.of(hopeful), _linked(held, threshold), "links")
+    both = hopeful.select(F.col("u").alias("cls")).union(hopeful.select("v")).distinct()
+    out = _met(hopeful.select(F.col("u").alias("x"), F.col("v").alias("y")), sets.of(both), _linked(held, threshold), "links")
     discard(hopeful)
     return out
 
@@ -353,23 +381,178 @@ def _relabel(rows: DataFrame, labels: DataFrame | None, column: str, out: str) -
     return rows.join(checked(named), column, "left").withColumn(out, F.coalesce("_label", column)).drop("_label")
 
 
+#: Bands of the ratio of two sets' sizes, from the threshold to 1 (in parts of the way there):
+#: the nearer the ratio is to 1, the more prefix shingles a pair must share.
+BANDS = (0, 0.002, 0.004, 0.008, 0.016, 0.032, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 0.92, 1)
+
+
+def _banded(threshold: int):
+    """Of rows sorted by (token, salt, n, comp): (cls, comp, n, mask). Bit k of mask says that
+    a class of another component holds the token and that its size is in band k of this class's. Salted
+    tokens, of which other tasks hold rows, have all bits."""
+    t = threshold / 100
+    edges = [t + (1 - t) * x for x in BANDS]
+    smaller = list(zip(edges[:-1], edges[1:], strict=True))
+    bands = smaller + [(1 / b, 1 / a) for a, b in smaller]
+
+    def masks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        token, salt, comp, n = (batch.column(c).to_numpy() for c in ("token", "salt", "comp", "n"))
+        n = n.astype(np.int64)
+        fresh = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
+        new = fresh | np.append(True, comp[1:] != comp[:-1])
+        group, starts = np.cumsum(fresh) - 1, np.flatnonzero(new)
+        lengths = np.diff(np.append(starts, len(n)))
+        run_end = np.repeat(starts + lengths, lengths)
+        heads = np.flatnonzero(fresh)
+        several = (np.minimum.reduceat(comp, heads) < np.maximum.reduceat(comp, heads))[group]
+        at = np.flatnonzero(several & (salt == 0))
+        step = int(n.max() / t) + 3
+        key = group * step + n
+        mask = np.where(salt > 0, (1 << len(bands)) - 1, 0)
+        for k, (a, b) in enumerate(bands):
+            low = np.searchsorted(key, group[at] * step + np.ceil(n[at] * a - 1e-6).astype(np.int64), "left")
+            high = np.searchsorted(key, group[at] * step + np.floor(n[at] * b + 1e-6).astype(np.int64), "right")
+            low_ = np.minimum(low, len(key) - 1)
+            mask[at] |= ((low < high) & ~((run_end[low_] >= high) & (comp[low_] == comp[at]))).astype(np.int64) << k
+        made = pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("comp"), batch.column("n"), pa.array(mask)], names=["cls", "comp", "n", "mask"])
+        return made.filter(pa.array(mask != 0))
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: pa.RecordBatch | None = None
+        for batch in batches:
+            if tail is not None and tail.num_rows:
+                batch = pa.concat_batches([tail, batch])
+            if batch.num_rows:
+                token, salt = (batch.column(c).to_numpy() for c in ("token", "salt"))
+                change = np.flatnonzero((token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
+                last = int(change[-1]) + 1 if len(change) else 0
+                tail = batch.slice(last)
+                if last:
+                    yield masks(batch.slice(0, last))
+        if tail is not None and tail.num_rows:
+            yield masks(tail)
+
+    return fn, bands
+
+
+def open_classes(rows: DataFrame, threshold: int) -> DataFrame:
+    """(cls, comp, n) of those classes of the prefix rows that can be in a link between components."""
+    t = threshold / 100
+    fn, bands = _banded(threshold)
+    dealt = rows.select("token", "salt", "cls", "comp", "n").repartition(partitions(rows.sparkSession), "token", "salt").sortWithinPartitions("token", "salt", "n", "comp")
+    found = map_arrow(dealt, fn, "cls long, comp long, n int, mask long")
+    counts = [F.sum(F.shiftright("mask", k).bitwiseAND(F.lit(1))).alias(f"m{k}") for k in range(len(bands))]
+    enough = F.lit(False)
+    for k, (a, b) in enumerate(bands):
+        # of a pair's common shingles all but (threshold of the larger size) are in both prefixes
+        need = t * (1 + a) / (1 + t) - t if b <= 1 else t * (1 + b) / (1 + t) - t * b
+        enough = enough | (F.col(f"m{k}") >= F.greatest(F.lit(1), F.ceil(F.col("n") * need - 1e-6)))
+    return found.groupBy("cls").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), *counts).where(enough).select("cls", "comp", "n")
+
+
+def _opened(held, salts: int):
+    """(token, salt, cls, comp, n) of all shingles of sets; only heavy shingles are salted."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = np.sort(held.value)
+        for batch in batches:
+            at = 0
+            sizes = batch.column("n").to_numpy().astype(np.int64)
+            while at < batch.num_rows:  # some hundred thousand shingles at a time
+                end = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), 1 << 18)))
+                part = batch.slice(at, end - at)
+                n = sizes[at:end]
+                h = np.frombuffer(b"".join(part.column("shingles").to_pylist()), U64)
+                cls, comp = (np.repeat(part.column(c).to_numpy(), n) for c in ("cls", "comp"))
+                heavy = np.isin(h, tokens)
+                salt = np.where(heavy, U64(1) + cls.view(U64) % U64(salts), U64(0)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(cls), pa.array(comp), pa.array(np.repeat(n, n).astype(np.int32))], names=["token", "salt", "cls", "comp", "n"])
+                at = end
+
+    return fn
+
+
+def _crossing(held):
+    """Of rows sorted by (token, salt, cls), without repeats: (token, cls, comp, n, f) of those shingles that several
+    components hold. f orders shingles: the classes that hold it, or for heavy ones, which are
+    all kept, their rank beyond those."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = np.argsort(held.value)
+        tokens, rank = held.value[by], by.astype(np.int64)
+        tail: pa.RecordBatch | None = None
+
+        def groups(batch: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+            token, salt, cls = (batch.column(c).to_numpy() for c in ("token", "salt", "cls"))
+            again = np.zeros(len(token), bool)
+            again[1:] = (token[1:] == token[:-1]) & (cls[1:] == cls[:-1])
+            if again.any():
+                batch = batch.filter(pa.array(~again))
+            token, salt, cls, comp, n = (batch.column(c).to_numpy() for c in ("token", "salt", "cls", "comp", "n"))
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+            starts = np.flatnonzero(new)
+            cut_at = len(token) if last else int(starts[-1])
+            several = np.minimum.reduceat(comp, starts) < np.maximum.reduceat(comp, starts)
+            f = np.diff(np.append(starts, len(token)))
+            heavy = salt[starts] > 0
+            if heavy.any():
+                f = f.copy()
+                f[heavy] = (1 << 40) + rank[np.searchsorted(tokens, token[starts][heavy].view(U64))]
+            run = np.cumsum(new) - 1
+            keep = (several | heavy)[run]
+            keep[cut_at:] = False
+            at = np.flatnonzero(keep)
+            made = pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(cls[at]), pa.array(comp[at]), pa.array(n[at]), pa.array(f[run[at]].astype(np.int64))], names=["token", "cls", "comp", "n", "f"])
+            return made, batch.slice(cut_at)
+
+        for batch in batches:
+            if tail is not None and tail.num_rows:
+                batch = pa.concat_batches([tail, batch])
+            if batch.num_rows:
+                out, tail = groups(batch, False)
+                yield out
+        if tail is not None and tail.num_rows:
+            yield groups(tail, True)[0]
+
+    return fn
+
+
+def crossing_prefixes(open_: DataFrame, sets: DataFrame, held, threshold: int, salts: int) -> DataFrame:
+    """(token, cls, comp, n, pos): prefixes of the classes ``open_`` (cls, comp, n) in the order of
+    how many of those classes hold a shingle; what one component alone holds comes first and is left out."""
+    n = partitions(open_.sparkSession)
+    whole = sets.join(checked(open_.select("cls", "comp")), "cls").select("cls", "comp", "n", "shingles")
+    dealt = map_arrow(whole, _opened(held, salts), "token long, salt int, cls long, comp long, n int").repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "cls")
+    shared = map_arrow(dealt, _crossing(held), "token long, cls long, comp long, n int, f long")
+    own = Window.partitionBy("cls")
+    place = F.row_number().over(own.orderBy("f", "token")) - F.lit(1)
+    ranked = shared.withColumn("m", F.count(F.lit(1)).over(own)).withColumn("pos", (F.col("n") - F.col("m") + place).cast("int"))
+    p = F.col("n") - F.ceil(F.col("n") * threshold / 100.0 - 1e-9) + 1
+    return cut(ranked.where(F.col("pos") < p).select("token", "cls", "comp", "n", "pos"), "crossing-prefixes")
+
+
 def link_classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Documents (doc_id, n, cls), verified links between classes (u, v), and their components
     (node, label), or None if nothing links."""
     spark = docs.sparkSession
     n = partitions(spark)
-    found = cut(map_arrow(docs, _signatures(width), "kind int, id long, n long, cls long"), "shingle-signatures", ["kind"])
-    signatures = found.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cls")
+    found = cut(map_arrow(docs, _signatures(width), "kind int, id long, n long, cls long, other long"), "shingle-signatures", ["kind"])
+    signatures = found.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cls", "other")
+    # of so many 64-bit names, about classes^2 / 2^65 agree by chance
+    clash = [r["cls"] for r in signatures.where("cls is not null").groupBy("cls").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a < b").collect()]
+    name = F.when(F.col("cls").isin(clash), F.col("other")).otherwise(F.col("cls")) if clash else F.col("cls")
+    signatures = signatures.select("doc_id", "n", name.alias("cls"))
     often = frequent(cut(found.where("kind = 1").groupBy(F.col("id").alias("token")).agg(F.sum("n").alias("n")), "often"), "n", HEAVY)
     # rank by count: the least heavy first
     top = np.array([r["token"] for r in sorted(often.collect(), key=lambda r: (r["n"], r["token"]))], np.int64).view(U64)
     held = spark.sparkContext.broadcast(top)
     salts = 16
-    dealt = map_arrow(docs, _prefixes(held, width, threshold, salts), "token long, salt int, cls long, n int, pos int").repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "cls")
+    dealt = map_arrow(docs, _prefixes(held, width, threshold, salts, clash), "token long, salt int, cls long, n int, pos int").repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "cls")
     shared = cut(map_arrow(dealt, _shared, "token long, salt int, cls long, n int, pos int"), "shared-prefixes")
     active = shared.select("cls").distinct()
-    first = cut(signatures.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(active, "cls"), "active-classes")
-    sets = Sets(docs, first, width)
+    first = cut(signatures.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(active, "cls"), "active-classes")
+    sets = Sets(docs, first, width, clash)
     # the least edited of near copies share most of their prefix with others: they lead best
     p = F.col("n") - F.ceil(F.col("n") * threshold / 100.0 - 1e-9) + 1
     central = cut(shared.groupBy("cls").agg(F.round(F.count(F.lit(1)) / F.first(p), 2).alias("central")), "central")
@@ -409,10 +592,9 @@ def link_classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD
         if new.count() < WORTH * made:
             break
 
-    # every pair that is left between components, under the first order's full prefixes
-    rows = _relabel(shared, labels, "cls", "comp")
-    spread = rows.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("token")
-    mixed = cut(rows.join(spread, "token", "left_semi").select("token", "cls", "n", "pos", "comp"), "mixed-prefixes")
+    # every pair that is left between components
+    open_ = cut(open_classes(_relabel(shared, labels, "cls", "comp"), threshold), "open-classes")
+    mixed = crossing_prefixes(open_, sets.of(open_.select("cls")), held, threshold, salts)
     a = mixed.select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
     # the smaller set's prefix is shorter: its partner's size raises the overlap that is asked for
     index = F.col("n") - F.ceil(F.col("n") * (2.0 * threshold) / (100.0 + threshold) - 1e-9)
@@ -432,7 +614,7 @@ def link_classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD
         links = new if links is None else links.union(new)
         discard(labels)
         labels = components(links)
-    discard(shared, prefixes, *sets.tables, mixed, left, first)
+    discard(shared, prefixes, *sets.tables, open_, mixed, left, first)
     if links is None:
         links = spark.createDataFrame([], "u long, v long")
     return signatures, links, labels
@@ -446,11 +628,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     named = signatures.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     both = links.union(links.select("v", "u")).groupBy(F.col("u").alias("cls")).agg(F.count_distinct("v").alias("n_links"))
     named = _relabel(named, labels, "cls", "comp")
-    least = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    table = cut(named.join(least, "comp").join(both, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "class-components")
+    # stored, so that the join can broadcast it, or part the rows of a large component
+    named = cut(named, "named-classes")
+    least = cut(named.groupBy("comp").agg(F.min("first").alias("component_id")), "least-ids")
+    table = cut(named.join(checked(least), "comp").join(both, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "class-components")
     # documents without shingles match nothing in the join: each has a key of its own
     key = F.coalesce(F.col("cls"), F.xxhash64("doc_id"))
-    out = signatures.withColumn("key", key).join(table.withColumnRenamed("cls", "key"), "key", "left")
+    out = signatures.withColumn("key", key).join(checked(table.withColumnRenamed("cls", "key")), "key", "left")
     empty = F.col("cls").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"))
 
@@ -460,4 +644,4 @@ def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = T
     they are; of rows that repeat a doc_id all stay or go; rows without a doc_id stay."""
     found = near_duplicates(docs, width, threshold, id_col, text_col)
     gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-duplicates")
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(checked(gone), id_col, "left_anti")

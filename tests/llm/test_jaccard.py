@@ -97,6 +97,33 @@ def test_empty_nulls_repeats_and_names(spark):
     assert kept == [2, 3, 4]
 
 
+def test_near_copy_without_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(3, " ".join(words)), (None, " ".join([*words, "more"])), (None, " ".join(["less", *words])), (7, " ".join([*words, "more", "words"])), (7, "quite another text under an id that occurs before")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == [(0, 57, 3), (0, 57, 3), (3, 56, 3), (7, 5, 7), (7, 58, 3)]
+
+
+@pytest.mark.parametrize("stars", [0, 1])
+def test_pairs_between_components(spark, monkeypatch, stars):
+    """All links come from the exact order's prefixes if no stars lead to them; sets just below the threshold stay apart."""
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", stars)
+    monkeypatch.setattr(jaccard, "HEAVY_FROM", 2)
+    rng = random.Random(stars)
+    base = [f"b{i}" for i in range(200)]
+    docs = [(i, edited(rng, base, rng.randrange(3, 9))) for i in range(150)]
+    docs += [(1000 + i, edited(rng, base[:60], rng.randrange(0, 3))) for i in range(40)]
+    docs += [(2000 + i, docs[i][1]) for i in range(5)]
+    check(spark, [*docs, (2000, docs[0][1])][:-1])
+
+
+def test_names_that_agree_in_64_bits(spark, monkeypatch):
+    whole = jaccard._digests
+    monkeypatch.setattr(jaccard, "_digests", lambda h, n: (whole(h, n)[0] * 0 + 5, whole(h, n)[1]))
+    h, counts = jaccard.shingle_sets(__import__("pyarrow").array(["a b", "c d", "a b"]))[::2]
+    assert jaccard._classes(h, counts, [5]) == [int(x) for x in whole(h, counts)[1]] and jaccard._classes(h, counts, []) == [5, 5, 5]
+
+
 def test_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op7_ngram_jaccard"](spark, sf).collect()}
