@@ -43,7 +43,8 @@ def test_run_equals_brute_force(spark, folder):
     import sentencepiece
 
     out, docs, items = folder
-    model = language.fit(spark.createDataFrame(docs, DOCS), ~language.held_out(spark.createDataFrame(docs, DOCS)))
+    table = spark.createDataFrame(docs, DOCS)
+    model = language.fit(table, ~language.held_out(table))
     tools = language.compressors(model)
     kept = []
     for d in docs:
