@@ -68,3 +68,21 @@ def slerp(lo: Column, hi: Column, t: Column, parts: tuple[str, str, str, str]) -
     """Spherical between neighbours; an end's rotation beyond the ends."""
     a, b = (Quat(*(F.coalesce(s[p], o[p]) for p in parts)) for s, o in ((lo, hi), (hi, lo)))
     return a.slerp(b, F.coalesce(share(lo, hi, t), F.lit(0.0)))
+
+
+def with_slerp(df: DataFrame, parts: tuple[str, str, str, str], prefix: str = "", t: str = "t") -> DataFrame:
+    """``df`` (with lo and hi) with the columns <prefix><part> of ``slerp``, one projection a step: each step's
+    values are computed once for a row, and no expression holds another one many times."""
+    ends = {f"_{x}{i}": F.coalesce(F.col(a)[p], F.col(b)[p]) for x, a, b in (("a", "lo", "hi"), ("b", "hi", "lo")) for i, p in enumerate(parts)}
+    out = df.withColumns({**ends, "_u": F.coalesce(share(F.col("lo"), F.col("hi"), F.col(t)), F.lit(0.0))})
+    a, b = (Quat(*(F.col(f"_{x}{i}") for i in range(4))) for x in "ab")
+    out = out.withColumn("_dot", a.dot(b))
+    size, u = F.abs("_dot"), F.col("_u")
+    out = out.withColumns({"_near": size > 0.9995, "_far": F.acos(F.least(size, F.lit(1.0))), "_sign": F.when(F.col("_dot") < 0, -1.0).otherwise(1.0)})
+    near, far = F.col("_near"), F.col("_far")
+    out = out.withColumns({"_wa": F.when(near, 1 - u).otherwise(F.sin((1 - u) * far) / F.sin(far)), "_wb": F.when(near, u).otherwise(F.sin(u * far) / F.sin(far)) * F.col("_sign")})
+    out = out.withColumns({f"_m{i}": p * F.col("_wa") + q * F.col("_wb") for i, (p, q) in enumerate(zip(a.parts, b.parts, strict=True))})
+    mixed = Quat(*(F.col(f"_m{i}") for i in range(4)))
+    out = out.withColumn("_n", F.sqrt(mixed.dot(mixed)))
+    made = {f"{prefix}{p}": F.when(F.col("_n") > 0, m / F.col("_n")) for p, m in zip(parts, mixed.parts, strict=True)}
+    return out.withColumns(made).drop(*ends, "_u", "_dot", "_near", "_far", "_sign", "_wa", "_wb", "_n", *(f"_m{i}" for i in range(4)))

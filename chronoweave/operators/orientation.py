@@ -1,7 +1,7 @@
 """Orientation from rate and acceleration samples, and smoothing of orientations, on numpy.
 
-Quaternions are rows (w, x, y, z). Integrators start at a quarter turn about x and use the mean
-sample time; rows without a rate keep the orientation. All are strictly sequential, so they run once for each series (``per_series``); simple integration
+Quaternions are rows (w, x, y, z). Integrators start at a quarter turn about x; ``dt`` is each
+row's own time step (``steps``) or one for all; rows without a rate keep the orientation. All are strictly sequential, so they run once for each series (``per_series``); simple integration
 is a product of quaternions and is written as a tree of products.
 """
 
@@ -57,9 +57,32 @@ def slerp(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return unit((math.sin((1 - t) * w) * a + math.sin(t * w) * b) / math.sin(w))
 
 
-def simple(gyro: np.ndarray, dt: float) -> np.ndarray:
+def duration(t_us: np.ndarray) -> float:
+    """Seconds that samples stand for: their span and one sample time more."""
+    n = len(t_us)
+    return float(t_us[-1] - t_us[0]) / 1e6 * (n + 1) / n if n else 0.0
+
+
+def steps(t_us: np.ndarray, gyro: np.ndarray, lead: float = 1.0, repair: bool = True) -> np.ndarray:
+    """Seconds from the row before that has a rate. The first row's step is ``lead`` mean sample
+    times; with ``repair`` steps that aren't positive are one mean sample time."""
+    n = len(t_us)
+    if not n:
+        return np.zeros(0)
+    mean = duration(t_us) / n
+    known = np.flatnonzero(~np.isnan(gyro).any(axis=1))
+    out = np.zeros(n)
+    if len(known):
+        at = t_us[known] / 1e6
+        out[known] = np.diff(at, prepend=t_us[0] / 1e6 - mean * lead)
+        if repair:
+            out[known] = np.where(out[known] > 0, out[known], mean)
+    return out
+
+
+def simple(gyro: np.ndarray, dt: float | np.ndarray) -> np.ndarray:
     """Rates alone: a prefix product of quaternions, in log2(n) vectorised rounds."""
-    q = exp(np.nan_to_num(gyro) * dt)
+    q = exp(np.nan_to_num(gyro) * np.reshape(np.broadcast_to(dt, len(gyro)), (-1, 1)))
     if len(q):
         q[0] = mul(Q0, q[0])
     step = 1
@@ -84,66 +107,74 @@ def _up(accel: np.ndarray, i: int) -> np.ndarray | None:
     return None if np.isnan(n) or n == 0 else a / n
 
 
-def with_gravity(gyro: np.ndarray, accel: np.ndarray, dt: float, strong: float = 10.0, weak: float = 0.6, settle_s: float = 15.0) -> np.ndarray:
+def with_gravity(gyro: np.ndarray, accel: np.ndarray, dt: float | np.ndarray, strong: float = 10.0, weak: float = 0.6, settle_s: float = 15.0) -> np.ndarray:
     """Rates pulled towards gravity, strongly at first."""
+    dt = np.broadcast_to(dt, len(gyro))
+    since = np.cumsum(dt)
 
     def step(q, w, i):
         up = _up(accel, i)
         if up is not None:
             pull = np.cross(turn(q, up), [0.0, 0, 1])
-            w = w + turn(conj(q), pull) * (strong if i * dt < settle_s else weak)
-        return unit(mul(q, exp(w * dt)))
+            w = w + turn(conj(q), pull) * (strong if since[i] < settle_s else weak)
+        return unit(mul(q, exp(w * dt[i])))
 
     return _each(gyro, step)
 
 
-def mahony(gyro: np.ndarray, accel: np.ndarray, dt: float, kp: float = 0.5, ki: float = 0.0) -> np.ndarray:
+def _some_up(accel: np.ndarray, i: int) -> np.ndarray:
+    """As ``_up``; a missing acceleration counts as one along x, a zero one as one along y."""
+    up = _up(accel, i)
+    return up if up is not None else np.array([1.0, 0, 0] if np.isnan(accel[i]).any() else [0.0, 1, 0])
+
+
+def mahony(gyro: np.ndarray, accel: np.ndarray, dt: float | np.ndarray, kp: float = 0.5, ki: float = 0.0) -> np.ndarray:
     """Proportional and integral feedback of the tilt error."""
+    dt = np.broadcast_to(dt, len(gyro))
     total = np.zeros(3)
 
     def step(q, w, i):
         nonlocal total
-        up = _up(accel, i)
-        if up is not None:
-            error = np.cross(up, turn(conj(q), np.array([0.0, 0, 1])))
-            total = total + ki * error * dt
-            w = w + kp * error + total
-        return unit(q + 0.5 * dt * mul(q, np.concatenate([[0.0], w])))
+        error = np.cross(_some_up(accel, i), turn(conj(q), np.array([0.0, 0, 1])))
+        total = total + error * dt[i]
+        return unit(q + 0.5 * dt[i] * mul(q, np.concatenate([[0.0], w + kp * error + ki * total])))
 
     return _each(gyro, step)
 
 
-def madgwick(gyro: np.ndarray, accel: np.ndarray, dt: float, beta: float = 0.02) -> np.ndarray:
+def madgwick(gyro: np.ndarray, accel: np.ndarray, dt: float | np.ndarray, beta: float = 0.02) -> np.ndarray:
     """One step down the gradient of the tilt error a sample."""
+    dt = np.broadcast_to(dt, len(gyro))
 
     def step(q, w, i):
         rate = 0.5 * mul(q, np.concatenate([[0.0], w]))
-        up = _up(accel, i)
-        if up is not None:
-            a, b, c, d = q
-            f = np.array([2 * (b * d - a * c), 2 * (a * b + c * d), 1 - 2 * (b * b + c * c)]) - up
-            j = np.array([[-2 * c, 2 * d, -2 * a, 2 * b], [2 * b, 2 * a, 2 * d, 2 * c], [0, -4 * b, -4 * c, 0]])
-            g = j.T @ f
-            n = np.linalg.norm(g)
-            if n > 0:
-                rate = rate - beta * g / n
-        return unit(q + dt * rate)
+        a, b, c, d = q
+        f = np.array([2 * (b * d - a * c), 2 * (a * b + c * d), 1 - 2 * (b * b + c * c)]) - _some_up(accel, i)
+        j = np.array([[-2 * c, 2 * d, -2 * a, 2 * b], [2 * b, 2 * a, 2 * d, 2 * c], [0, -4 * b, -4 * c, 0]])
+        g = j.T @ f
+        n = np.linalg.norm(g)
+        if n > 0:
+            rate = rate - beta * g / n
+        return unit(q + dt[i] * rate)
 
     return _each(gyro, step)
 
 
-def complementary(gyro: np.ndarray, accel: np.ndarray, dt: float, gain: float = 4e-4, bias_gain: float = 1e-3, tau: float = 0.1) -> np.ndarray:
+def complementary(gyro: np.ndarray, accel: np.ndarray, dt: float | np.ndarray, gain: float = 4e-4, bias_gain: float = 1e-3, tau: float = 0.1) -> np.ndarray:
     """Filtered gravity, bias learnt while steady, and a gain that depends on motion.
 
     Steady: rates below .01, acceleration within .1 of gravity and little change, for .2 s; the gain is then
     eight times as large. Otherwise it falls with the error in gravity's length and with the rate, and is larger while the start settles."""
     bias, gravity, held, last = np.zeros(3), GRAVITY, 0.0, None
-    smooth, weight = None, 1 - math.exp(-dt / tau)
-    settle = min(0.05 * dt * len(gyro), 2.0)
+    every = np.broadcast_to(dt, len(gyro))
+    since = np.cumsum(every) - every
+    smooth = None
+    settle = min(0.05 * float(every.sum()), 2.0)
 
     def step(q, w, i):
         nonlocal bias, gravity, held, last, smooth
-        a = accel[i]
+        a, dt = accel[i], float(every[i])
+        weight = 1 - math.exp(-max(dt, 0.0) / tau)
         if np.isnan(a).any():
             return unit(mul(q, exp((w - bias) * dt)))
         smooth = a.copy() if smooth is None else smooth + weight * (a - smooth)
@@ -159,7 +190,7 @@ def complementary(gyro: np.ndarray, accel: np.ndarray, dt: float, gain: float =
             g = gain * 8
         else:
             g = gain * math.exp(-40 * abs(size - gravity) / gravity - float(np.linalg.norm(rate)))
-            t = i * dt
+            t = float(since[i])
             if settle > 0 and t < settle:
                 g *= max(15 - 14 * t / settle, 8)
         q = unit(mul(q, exp((w - bias) * dt)))

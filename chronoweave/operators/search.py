@@ -31,8 +31,9 @@ def best_by_error(pairs: DataFrame, by: list[str], least: int = 1) -> DataFrame:
 
 
 def best_by_correlation(pairs: DataFrame, by: list[str], least: int = 2) -> DataFrame:
-    """(by, offset, r, n): largest Pearson correlation, equal ones to the smaller offset."""
-    found = pairs.groupBy(*by, "offset").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
+    """(by, offset, r, n): largest Pearson correlation, equal ones to the smaller offset; a
+    candidate whose x or y is constant has none and doesn't count."""
+    found = pairs.groupBy(*by, "offset").agg(F.expr("try_divide(covar_pop(x, y), stddev_pop(x) * stddev_pop(y))").alias("r"), F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
     return found.groupBy(*by).agg(F.min(F.struct((-F.col("r")).alias("cost"), "offset", "n")).alias("b")).select(*by, "b.offset", (-F.col("b.cost")).alias("r"), "b.n")
 
 

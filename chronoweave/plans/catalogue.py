@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.plans import lens, relational, series, streams
+from chronoweave.plans import camera, lens, motion, relational, series, streams
 from chronoweave.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "lens", "relational", "series", "streams"]
+__all__ = ["ORACLES", "QUERIES", "camera", "flagship", "lens", "motion", "relational", "series", "streams"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,8 +88,8 @@ m AS (SELECT *, a * aw + b * bw0 AS w, a * az + b * bz0 AS z FROM f)"""
 def bracket_slerp(spark: SparkSession, sf: str) -> DataFrame:
     half = F.col("value") / 200
     found = _on_grid(spark, sf, {"qw": F.cos(half), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.sin(half)})
-    q = asof.slerp(F.col("lo"), F.col("hi"), F.col("t"), ("qw", "qx", "qy", "qz"))
-    return found.select("user_id", "t", r(q.w).alias("qw"), r(q.z).alias("qz"))
+    found = asof.with_slerp(found, ("qw", "qx", "qy", "qz"))
+    return found.select("user_id", "t", r("qw").alias("qw"), r("qz").alias("qz"))
 
 
 @query(f"""WITH {EVENTS}, fr AS (SELECT user_id, event_id, t, unnest(range(0, 9)) AS y FROM s WHERE event_type = 'signup'),
@@ -105,8 +105,8 @@ def rolling_shutter_rows(spark: SparkSession, sf: str) -> DataFrame:
     half = F.col("value") / 200
     samples = e.select("user_id", "t", "event_id", F.cos(half).alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(half).alias("qz"))
     found = asof.bracket(rows, samples, ["user_id"], "t", "event_id", ["qw", "qx", "qy", "qz"])
-    q = asof.slerp(F.col("lo"), F.col("hi"), F.col("t"), ("qw", "qx", "qy", "qz"))
-    return found.select("event_id", "y", r(q.w).alias("qw"), r(q.z).alias("qz"))
+    found = asof.with_slerp(found, ("qw", "qx", "qy", "qz"))
+    return found.select("event_id", "y", r("qw").alias("qw"), r("qz").alias("qz"))
 
 
 @query(f"""WITH {EVENTS}, k AS (SELECT user_id, t, value, CASE event_id % 4 WHEN 0 THEN 'in' WHEN 1 THEN 'out' WHEN 2 THEN 'inout' ELSE 'none' END AS e FROM s WHERE event_type = 'purchase'),
@@ -269,11 +269,15 @@ def butterworth_causal(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "user_id", r("low").alias("low"))
 
 
-def _motion(pdf) -> tuple[np.ndarray, np.ndarray]:
-    """Rates (rad/s) and acceleration made of a user's values."""
+#: An hour of the series stands for five thousandths of a second of motion.
+SLOWED = 720_000
+
+
+def _motion(pdf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times (microseconds), rates (rad/s) and acceleration made of a user's values."""
     v = pdf["value"].to_numpy(float)
     gyro = np.stack([np.sin(v), np.cos(v), np.sin(v / 7)], 1)
-    return gyro, np.stack([np.sin(v / 50), np.cos(v / 30) / 4, 9.81 + np.sin(v) / 10], 1)
+    return pdf["t"].to_numpy(float) / SLOWED, gyro, np.stack([np.sin(v / 50), np.cos(v / 30) / 4, 9.81 + np.sin(v) / 10], 1)
 
 
 _Q = {"qw": "double", "qx": "double", "qy": "double", "qz": "double"}
@@ -282,52 +286,89 @@ _Q = {"qw": "double", "qx": "double", "qy": "double", "qz": "double"}
 def _oriented(spark: SparkSession, sf: str, fn) -> DataFrame:
     out = scans.per_series(events(spark, sf), USER, lambda p: dict(zip(_Q, np.asarray(fn(*_motion(p))).T, strict=True)), _Q)
     q = Quat(*map(F.col, _Q)).canonical()
-    return out.select("event_id", "user_id", *(r(c).alias(n) for n, c in zip(_Q, q.parts, strict=True)))
+    return out.select("event_id", "user_id", *(r(c, 5).alias(n) for n, c in zip(_Q, q.parts, strict=True)))
 
 
-@query()
+def _sql_steps(lead: str, repair: bool, step: str) -> str:
+    """Recursive SQL over a user's rows: ``step`` makes (nw, nx, ny, nz) of the state (w, x, y, z), the
+    rate (gx, gy, gz), the direction of acceleration (ux, uy, uz), dt and the time since the start."""
+    dt = "CASE WHEN raw > 0 THEN raw ELSE mean END" if repair else "raw"
+    return f"""WITH RECURSIVE {EVENTS}, m AS (SELECT *, t / {SLOWED}::DOUBLE / 1e6 AS sec, row_number() OVER u AS i, sin(value) AS gx, cos(value) AS gy, sin(value / 7) AS gz,
+  sin(value / 50) AS ax, cos(value / 30) / 4 AS ay, 9.81 + sin(value) / 10 AS az FROM s WINDOW u AS (PARTITION BY user_id ORDER BY t, event_id)),
+d AS (SELECT *, (max(sec) OVER p - min(sec) OVER p) * (count(*) OVER p + 1) / count(*) OVER p / count(*) OVER p AS mean, min(sec) OVER p AS s0, lag(sec) OVER (PARTITION BY user_id ORDER BY i) AS before, sqrt(ax * ax + ay * ay + az * az) AS an FROM m WINDOW p AS (PARTITION BY user_id)),
+e AS (SELECT *, coalesce(sec - before, mean * {lead}) AS raw, ax / an AS ux, ay / an AS uy, az / an AS uz FROM d),
+f AS (SELECT *, {dt} AS dt FROM e), g AS (SELECT *, sum(dt) OVER (PARTITION BY user_id ORDER BY i) AS since FROM f),
+z AS (SELECT user_id, event_id, 0::BIGINT AS i, sqrt(0.5) AS w, sqrt(0.5) AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM g WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, nw / len, nx / len, ny / len, nz / len FROM (SELECT *, sqrt(nw * nw + nx * nx + ny * ny + nz * nz) AS len FROM (
+    {step.replace("STATE", "(SELECT g.*, z.w, z.x, z.y, z.z FROM z JOIN g ON g.user_id = z.user_id AND g.i = z.i + 1)")}))),
+n AS (SELECT *, CASE WHEN w < 0 THEN -1 ELSE 1 END AS sg FROM z WHERE i > 0)
+SELECT event_id, user_id, round(w * sg, 5) + 0.0 AS qw, round(x * sg, 5) + 0.0 AS qx, round(y * sg, 5) + 0.0 AS qy, round(z * sg, 5) + 0.0 AS qz FROM n"""
+
+
+#: The state turned by a rotation vector (rx, ry, rz) times dt.
+_SQL_TURN = """SELECT *, w * ew - x * ex - y * ey - z * ez AS nw, w * ex + x * ew + y * ez - z * ey AS nx, w * ey - x * ez + y * ew + z * ex AS ny, w * ez + x * ey - y * ex + z * ew AS nz
+FROM (SELECT *, cos(h / 2) AS ew, rx * k AS ex, ry * k AS ey, rz * k AS ez FROM (SELECT *, CASE WHEN h > 1e-12 THEN sin(h / 2) / h * dt ELSE 0.5 * dt END AS k FROM (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) * dt AS h FROM (%s))))"""
+#: The state moved along a derivative (half the product with a rate, less a step).
+_SQL_MOVE = """SELECT *, w + dt * (0.5 * (-x * rx - y * ry - z * rz) - bw) AS nw, x + dt * (0.5 * (w * rx + y * rz - z * ry) - bx) AS nx, y + dt * (0.5 * (w * ry - x * rz + z * rx) - "by") AS ny, z + dt * (0.5 * (w * rz + x * ry - y * rx) - bz) AS nz FROM (%s)"""
+
+
+@query(_sql_steps("1", True, _SQL_TURN % "SELECT *, gx AS rx, gy AS ry, gz AS rz FROM STATE"))
 def integrate_gyro(spark: SparkSession, sf: str) -> DataFrame:
-    return _oriented(spark, sf, lambda g, a: orientation.simple(g, 0.05))
+    return _oriented(spark, sf, lambda t, g, a: orientation.simple(g, orientation.steps(t, g)))
 
 
-@query()
+@query(_sql_steps("1", True, _SQL_TURN % """SELECT *, gx + c * (m00 * px + m10 * py) AS rx, gy + c * (m01 * px + m11 * py) AS ry, gz + c * (m02 * px + m12 * py) AS rz FROM (
+  SELECT *, m10 * ux + m11 * uy + m12 * uz AS px, -(m00 * ux + m01 * uy + m02 * uz) AS py, CASE WHEN since < 15 THEN 10.0 ELSE 0.6 END AS c FROM (
+  SELECT *, 1 - 2 * (y * y + z * z) AS m00, 2 * (x * y - w * z) AS m01, 2 * (x * z + w * y) AS m02, 2 * (x * y + w * z) AS m10, 1 - 2 * (x * x + z * z) AS m11, 2 * (y * z - w * x) AS m12 FROM STATE))"""))
 def integrate_gravity(spark: SparkSession, sf: str) -> DataFrame:
-    return _oriented(spark, sf, lambda g, a: orientation.with_gravity(g, a, 0.05))
+    return _oriented(spark, sf, lambda t, g, a: orientation.with_gravity(g, a, orientation.steps(t, g)))
 
 
-@query()
+@query(_sql_steps("0.001", False, _SQL_MOVE % """SELECT *, gx + 0.5 * (uy * vz - uz * vy) AS rx, gy + 0.5 * (uz * vx - ux * vz) AS ry, gz + 0.5 * (ux * vy - uy * vx) AS rz, 0 AS bw, 0 AS bx, 0 AS "by", 0 AS bz FROM (
+  SELECT *, 2 * (x * z - w * y) AS vx, 2 * (w * x + y * z) AS vy, 1 - 2 * (x * x + y * y) AS vz FROM STATE)"""))
 def integrate_mahony(spark: SparkSession, sf: str) -> DataFrame:
-    return _oriented(spark, sf, lambda g, a: orientation.mahony(g, a, 0.05))
+    return _oriented(spark, sf, lambda t, g, a: orientation.mahony(g, a, orientation.steps(t, g, 0.001, False)))
 
 
-@query()
+@query(_sql_steps("0.001", False, _SQL_MOVE % """SELECT *, gx AS rx, gy AS ry, gz AS rz, 0.02 * d0 / dn AS bw, 0.02 * d1 / dn AS bx, 0.02 * d2 / dn AS "by", 0.02 * d3 / dn AS bz FROM (SELECT *, sqrt(d0 * d0 + d1 * d1 + d2 * d2 + d3 * d3) AS dn FROM (
+  SELECT *, -2 * y * f0 + 2 * x * f1 AS d0, 2 * z * f0 + 2 * w * f1 - 4 * x * f2 AS d1, -2 * w * f0 + 2 * z * f1 - 4 * y * f2 AS d2, 2 * x * f0 + 2 * y * f1 AS d3 FROM (
+  SELECT *, 2 * (x * z - w * y) - ux AS f0, 2 * (w * x + y * z) - uy AS f1, 1 - 2 * (x * x + y * y) - uz AS f2 FROM STATE)))"""))
 def integrate_madgwick(spark: SparkSession, sf: str) -> DataFrame:
-    return _oriented(spark, sf, lambda g, a: orientation.madgwick(g, a, 0.05))
+    return _oriented(spark, sf, lambda t, g, a: orientation.madgwick(g, a, orientation.steps(t, g, 0.001, False)))
 
 
 @query()
 def integrate_complementary(spark: SparkSession, sf: str) -> DataFrame:
-    return _oriented(spark, sf, lambda g, a: orientation.complementary(g, a, 0.05))
+    return _oriented(spark, sf, lambda t, g, a: orientation.complementary(g, a, orientation.steps(t, g)))
+
+
+def _mean_step(t: np.ndarray) -> float:
+    return orientation.duration(t) / max(len(t), 1)
 
 
 @query()
 def integrate_vqf(spark: SparkSession, sf: str) -> DataFrame:
-    return _oriented(spark, sf, lambda g, a: orientation.vqf(g, a, 0.05))
+    """One sample time for all rows, as the filter asks for."""
+    return _oriented(spark, sf, lambda t, g, a: orientation.vqf(g, a, _mean_step(t) or 1.0))
+
+
+def _smoothed(spark: SparkSession, sf: str, fn) -> DataFrame:
+    return _oriented(spark, sf, lambda t, g, a: fn(orientation.simple(g, orientation.steps(t, g)), 1 / (_mean_step(t) or 1.0)))
 
 
 @query()
 def smooth_plain(spark: SparkSession, sf: str) -> DataFrame:
-    return _oriented(spark, sf, lambda g, a: orientation.smooth_plain(orientation.simple(g, 0.05), 20.0))
+    return _smoothed(spark, sf, orientation.smooth_plain)
 
 
 @query()
 def smooth_default(spark: SparkSession, sf: str) -> DataFrame:
-    return _oriented(spark, sf, lambda g, a: orientation.smooth_default(orientation.simple(g, 0.05), 20.0))
+    return _smoothed(spark, sf, orientation.smooth_default)
 
 
 @query()
 def horizon_lock(spark: SparkSession, sf: str) -> DataFrame:
-    return _oriented(spark, sf, lambda g, a: orientation.lock_horizon(orientation.simple(g, 0.05), 80.0))
+    return _smoothed(spark, sf, lambda q, rate: orientation.lock_horizon(q, 80.0))
 
 
 @query(f"""WITH {EVENTS}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, max(value) OVER (PARTITION BY user_id) AS top FROM s)
