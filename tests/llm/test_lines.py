@@ -48,6 +48,29 @@ def test_random_with_hot_line(spark, partitions):
     check(spark, docs, partitions)
 
 
+@pytest.mark.parametrize("batch", ["1", "3", "10000"])
+def test_streams_batch_by_batch(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    rng = random.Random(8)
+    pool = [f"line number {i} of the common pool" for i in range(4)]
+    check(spark, [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(4)))) for i in range(40)], "3")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_one_id_with_different_texts(spark):
+    common = "a line that three documents share"
+    docs = [(1, f"{common}\nkeep me one"), (1, "a\nb"), (1, f"x\n{common}"), (2, common), (3, f"{common}\nlast"), (3, f"other\n{common}")]
+    check(spark, docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in lines.apply_bitmaps(df, lines.drop_bitmaps(df)).collect())
+    assert got == [(1, "a\nb"), (1, "keep me one"), (1, "x"), (2, ""), (3, f"{common}\nlast"), (3, f"other\n{common}")]
+
+
+def test_bitmaps_that_are_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", 0)
+    check(spark, [(i, "one long line that all of them have\nown " + str(i)) for i in range(9)])
+
+
 def test_empty_and_extra_columns(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(9, "a", "x" * 25, 1, 2)], "h1 int, _keep string, text string, doc_id long, keep int")
