@@ -1,8 +1,9 @@
 """Personal data in text, with DataFrame functions only.
 
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod-97 for IBANs, ranges for
-addresses), and context words nearby move a span's score up or down. Spans of the base kinds (email, ip, card, phone)
-stay whatever their score; the added kinds (iban, ssn) stay from ``MIN_SCORE`` on.
+addresses, a mixture of characters for secrets), and context words nearby move a span's score up or down. Spans of the base kinds (email, ip, card, phone)
+stay whatever their score; the added kinds (iban, ssn, secret) stay from ``MIN_SCORE`` on. A secret is a long value that
+a name like token, key or password is given, name included, or a key of a public form.
 
 Every pattern is written with possessive quantifiers and takes a linear scan. ``card`` and
 ``phone`` count their digits in the pattern: a longer run is passed over as a whole, as if it had been matched
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The kinds in the order that ties of a start are listed in.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -29,12 +30,13 @@ PATTERNS = {
     "phone": r"\+[0-9](?:[ ().-]*+[0-9]){8,14}+(?![ ().-]*+[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9])(?:(?i:token|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|passw(?:or)?d|pwd|credentials?)[\"']?+[ \t]{0,4}+[:=]{1,2}[ \t]{0,4}+[\"']?+[A-Za-z0-9+/_.~-]{16,}+|AKIA[0-9A-Z]{16}+|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)",
 }
 #: A character that every match has; texts without it are not scanned.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
+NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-", "secret": None}
 _PART = "(?:0++|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?))"
 #: Scores after a validator's word, and how far context moves them.
-SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
+SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "secret": 0.7}
 CONTEXT = {
     "email": "(?i)e-?mail|contact|write|reply",
     "ip": r"(?i)\bip\b|address|host|server|login",
@@ -42,6 +44,7 @@ CONTEXT = {
     "phone": r"(?i)phone|\btel\b|mobile|call|fax",
     "iban": "(?i)iban|bank|account|konto|compte|cuenta",
     "ssn": r"(?i)ssn|social security",
+    "secret": r"(?i)bearer|login|deploy|export|config",
 }
 AGAINST = r"(?i)\b(?:version|isbn|order|serial|sample|example|test)\b"
 RAISE, LOWER, MIN_SCORE = 0.2, 0.2, 0.5
@@ -92,6 +95,12 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(iban)), F.lit(0), step) == 1
 
 
+def mixed(value: Column) -> Column:
+    """Whether a secret's last part looks drawn at random: letters and digits, eight different ones at least."""
+    last = F.regexp_extract(value, "([A-Za-z0-9+/_.~-]+)$", 1)
+    return last.rlike("[0-9]") & last.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(F.lower(last), ""))) >= 8)
+
+
 VALID = {
     "email": lambda m: F.lit(True),
     "ip": lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
@@ -99,6 +108,7 @@ VALID = {
     "phone": lambda m: F.lit(True),
     "iban": lambda m: F.length(F.replace(m, F.lit(" "))).between(15, 34) & mod97(F.replace(m, F.lit(" "))),
     "ssn": lambda m: F.lit(True),
+    "secret": mixed,
 }
 
 

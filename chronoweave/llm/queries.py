@@ -123,7 +123,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rank"] < len(pii.BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+    added = [count(kind) for kind in pii.KINDS if kind not in pii.BASE]
+    return found.select("doc_id", *map(count, pii.BASE), *added, F.size("spans").cast("long").alias("n_spans"), F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
 @query

@@ -53,6 +53,14 @@ def test_added_kinds_need_proof(spark):
     assert got[0][0][3] - got[0][0][0] == 27
 
 
+def test_secrets(spark):
+    key = "f32ab9ba2834a0d390df92664b1272635dbc0ec6"
+    texts = [f'x token = "{key}" y', f"TOKEN: {key.upper()}", "token = of all the words in the world", "password=aaaaaaaaaaaaaaaaaaaaaaaa1", "api_key: 'Zx81kLmQ0pR7vTn2'", "ghp_" + "a1B2c3" * 6, "the token ring", key, "token = " + "9" * 50_000, "secret " * 20_000]
+    got = found(spark, texts)
+    assert [[s[2] for s in got[i]] for i in range(len(texts))] == [["secret"], ["secret"], [], [], ["secret"], ["secret"], [], [], [], []]
+    assert got[0][0][0] == 2 and texts[0][2 : got[0][0][3]].endswith(key)
+
+
 def test_context_moves_the_score(spark):
     df = spark.createDataFrame([(1, "call +15551234567 now"), (2, "version +15551234567"), (3, "+15551234567")], "doc_id long, text string")
     scores = {r["doc_id"]: r["spans"][0]["score"] for r in pii.find(df).collect()}
