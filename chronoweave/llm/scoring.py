@@ -4,10 +4,14 @@
    get ids by rank and are broadcast with their counts; all others (rare below) go by their hash.
 2. Counts of word pairs. Pairs of two of the ``HEAD`` most frequent words are the only ones that can be hot;
    their table has at most (HEAD + 1)^2 cells and is broadcast.
-3. All other pairs of documents are exploded as (document, pair, times) and sorted by pair, where a run's
+3. All other pairs of documents are exploded as (document, pair, times) and partitioned by the pair's hash. They
+   travel in packed blocks, a block for each partition and part of it, whose columns' bytes lie plane by plane and are
+   compressed. A partition's parts are joined one after the other: a part is sorted by pair, where a run's
    sum is the pair's count. What a rare word's count is missing for is joined with the table of 1.
 4. Logs are summed by document.
 
+All pairs are counted. One that occurs once was seen in the scored document alone, which can't speak for
+itself, so it backs off:
 S(w | v) = c(v, w) / c(v) if c(v, w) >= MIN_COUNT, else BACKOFF * c(w) / N; a document's first word has
 its unigram share c(w) / N. A document's score is the mean of log S over its words.
 
@@ -26,17 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import U64, frequent, id_text, map_arrow, steps, words_of
-from chronoweave.runtime import cut
+from chronoweave.llm.common import U64, frequent, id_text, map_arrow, mix, steps, words_of
+from chronoweave.runtime import cut, partitions
 
 #: Words that the model tells apart: all.
 VOCABULARY = math.inf
 #: Words whose counts are broadcast, and those of them whose pairs are.
 KNOWN, HEAD = 65_536, 1024
 MIN_COUNT, BACKOFF = 2, 0.4
+#: Pairs (with repeats) in a part of a partition: the parts' number follows the corpus.
+PART = 750_000
+#: Text whose pairs are packed together, in bytes.
+PACK_BYTES = 2 << 20
 #: Rows whose sums by document a task holds at a time.
 SUMS = 1 << 21
 #: Set in every word's hash, so that as a signed number it is below all ids.
@@ -53,8 +62,8 @@ class Vocabulary:
         self.unknown, self.total, self.closed = len(hashes), total, closed
         self.counts = np.append(counts, max(0, total - int(counts.sum()))).astype(np.float64)
         self.head = min(head, self.unknown)
-        #: In a pair's place: what stands before a first word; a document's own row.
-        self.start, self.own = self.unknown + 1, self.unknown + 2
+        #: In a pair's place: what stands before a first word.
+        self.start = self.unknown + 1
 
     def of(self, words: np.ndarray) -> np.ndarray:
         words = words | _RARE
@@ -122,6 +131,24 @@ def head_counts(docs: DataFrame, held) -> np.ndarray:
     return table
 
 
+_PAIR = (np.int64, np.int64, np.int64, np.int32)
+_OWN = (np.int64, np.int64, np.int64, np.float64, np.int8)
+
+
+def pack(arrays: tuple[np.ndarray, ...], kinds: tuple[type, ...], press) -> bytes:
+    """Arrays of one length, each as planes of its first, second, ... bytes, compressed."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(x, k).view(np.uint8).reshape(len(x), np.dtype(k).itemsize).T).tobytes() for x, k in zip(arrays, kinds, strict=True)]
+    return press.compress(b"".join(planes))
+
+
+def unpack(data: bytes, kinds: tuple[type, ...], press) -> tuple[np.ndarray, ...]:
+    raw = np.frombuffer(press.decompress(data), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n = len(raw) // sum(widths)
+    ends = np.cumsum([n * w for w in widths])
+    return tuple(np.ascontiguousarray(raw[e - n * w : e].reshape(w, n).T).view(k).reshape(n) for e, w, k in zip(ends.tolist(), widths, kinds, strict=True))
+
+
 def score(docs: DataFrame, size: float = VOCABULARY, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN) -> DataFrame:
     """(doc_id, n_words, log_prob, score) of every row, under the counts of all rows."""
     spark = docs.sparkSession
@@ -130,12 +157,15 @@ def score(docs: DataFrame, size: float = VOCABULARY, head: int = HEAD, id_col: s
     held = spark.sparkContext.broadcast(fit_vocabulary(counts, size, head, known))
     square = spark.sparkContext.broadcast(head_counts(source, held))
 
+    n_parts = partitions(spark)
+    splits = max(1, math.ceil(held.value.total / (n_parts * PART)))
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, with what the head gives, and one for each of its other pairs."""
-        v, cells = held.value, square.value
+        """Blocks of documents, with what the head gives them, and of their other pairs."""
+        v, cells, press = held.value, square.value, zstandard.ZstdCompressor(level=1)
         width = v.head + 1
         for whole in batches:
-            for batch in steps(whole, "text"):
+            for batch in steps(whole, "text", PACK_BYTES):
                 n = batch.num_rows
                 ids, rows, follows, words = v.pairs(batch.column("text"))
                 first = np.ones(len(ids), bool)
@@ -152,71 +182,73 @@ def score(docs: DataFrame, size: float = VOCABULARY, head: int = HEAD, id_col: s
                 owner = np.concatenate([rows[follows][~both], rows[rare]])
                 a = np.concatenate([a[~both], np.full(len(rare), v.start)])
                 b = np.concatenate([b[~both], ids[rare]])
-                by = np.lexsort((b, a, owner))
-                owner, a, b = owner[by], a[by], b[by]
+                names = batch.column("row").to_numpy()
+                known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                part, split, data = [int(names[0] % n_parts)], [-1], [pack((names, batch.column("doc_id").fill_null(0).to_numpy(), words, sure, known), _OWN, press)]
+                # by place, then by document and pair, whose repeats become one
+                key = _pair_key(a, b)
+                place = (key % U64(n_parts * splits)).astype(np.int64)
+                by = np.lexsort((key, owner, place))
+                owner, a, b, key, place = owner[by], a[by], b[by], key[by], place[by]
                 new = np.ones(len(by), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
                 at = np.flatnonzero(new)
-                owner, a, b, times = owner[at], a[at], b[at], np.diff(np.append(at, len(by)))
-                keys = batch.column("row").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([*batch.column("doc_id").to_pylist(), *[None] * len(at)], pa.int64()),
-                        pa.array(np.concatenate([keys, keys[owner]])),
-                        # next to b's low bytes, so that a row's changing bytes lie together and compress
-                        pa.array(np.concatenate([keys, np.where(a < 0, a, a << 32)])),
-                        pa.array(np.concatenate([np.full(n, v.own), b])),
-                        pa.array(np.concatenate([words, times]).astype(np.int64)),
-                        pa.array(np.concatenate([sure, np.zeros(len(at))])),
-                    ],
-                    names=["doc_id", "row", "a", "b", "times", "sure"],
-                )
+                times = np.diff(np.append(at, len(by)))
+                owner, a, b, place = names[owner[at]], a[at], b[at], place[at]
+                edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place)) if len(place) else np.zeros(1, np.int64)
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    part.append(int(place[i]) % n_parts)
+                    split.append(int(place[i]) // n_parts)
+                    data.append(pack((owner[i:j], a[i:j], b[i:j], times[i:j]), _PAIR, press))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(split, pa.int32()), pa.array(data, pa.binary())], names=["part", "split", "data"])
 
     rows = source.withColumn("row", F.monotonically_increasing_id())
-    exploded = map_arrow(rows, explode, "doc_id long, row long, a long, b long, times long, sure double")
+    exploded = map_arrow(rows, explode, "part int, split int, data binary")
     # a pair outside the head is no more frequent than the word after the head
-    dealt = exploded.repartition("a", "b").sortWithinPartitions("a", "b")
+    dealt = exploded.repartitionById(n_parts, "part").sortWithinPartitions("split")
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """By document, what is sure, and (need, weight): log counts of rare words still to be added."""
-        v = held.value
+        v, press = held.value, zstandard.ZstdDecompressor()
         sums, size = [], 0
 
-        def part(row, need, weight, ids, words, value) -> pa.RecordBatch:
+        def part(row, need, weight=None, ids=None, words=None, value=None) -> pa.RecordBatch:
             """Rows without a need go by their number, which no rare word has."""
             n = len(row)
             zero = pa.array(np.zeros(n, np.int64))
-            columns = [pa.array(row), pa.array(need), zero if weight is None else pa.array(weight), pa.nulls(n, pa.int64()) if ids is None else ids, zero if words is None else pa.array(words), pa.array(value)]
+            columns = [pa.array(row), pa.array(need), zero if weight is None else pa.array(weight), pa.nulls(n, pa.int64()) if ids is None else ids, zero if words is None else pa.array(words), pa.array(np.zeros(n) if value is None else value)]
             return pa.RecordBatch.from_arrays(columns, names=["row", "need", "weight", "doc_id", "n_words", "log_prob"])
 
-        for batch in _whole_runs(batches):
-            row, a, b, times, sure = (batch.column(c).to_numpy() for c in ("row", "a", "b", "times", "sure"))
-            own = b == v.own
-            a = np.where((a < 0) | own, a, a >> 32)
-            new = np.ones(len(row), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            run = np.cumsum(new) - 1
-            count = np.bincount(run, times)[run]
+        for split, blocks in _splits(batches):
+            if split < 0:
+                for block in blocks:
+                    row, ids, words, sure, known = unpack(block, _OWN, press)
+                    yield part(row, row, None, pa.array(ids, mask=known == 0), words, sure)
+                continue
+            row, a, b, times = map(np.concatenate, zip(*(unpack(block, _PAIR, press) for block in blocks), strict=True))
+            key = _pair_key(a, b)
+            by = np.argsort(key)
+            row, a, b, times, key = row[by], a[by], b[by], times[by].astype(np.int64), key[by]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            count = np.repeat(np.add.reduceat(times, starts), np.diff(np.append(starts, len(key))))
             first, seen = a == v.start, count >= MIN_COUNT
-            logs = np.where(seen, np.log(np.maximum(count, 1)) - v.log_count(np.where(own, 0, a)), np.log(BACKOFF) + v.log_count(b) - np.log(v.total))
-            value = np.where(own | first, 0.0, logs * times)  # a first word's share of N is sure
+            logs = np.where(seen, np.log(np.maximum(count, 1)) - v.log_count(a), np.log(BACKOFF) + v.log_count(b) - np.log(v.total))
+            value = np.where(first, 0.0, logs * times)  # a first word's share of N is sure
             word = np.where(seen & ~first, a, b)
-            open_ = np.flatnonzero(~own & (word < 0))
+            open_ = np.flatnonzero(word < 0)
             if len(open_):
-                yield part(row[open_], word[open_], np.where(seen & ~first, -times, times)[open_], None, None, np.zeros(len(open_)))
-            if own.any():
-                yield part(row[own], row[own], None, batch.column("doc_id").filter(pa.array(own)), times[own], sure[own])
-            sums.append((row, value))
-            size += len(row)
+                yield part(row[open_], word[open_], np.where(seen & ~first, -times, times)[open_])
+            sums.append(_summed([(row, value)]))
+            size += len(sums[-1][0])
             if size >= SUMS:
                 sums = [_summed(sums)]
                 size = len(sums[0][0])
                 if size >= SUMS // 2:
-                    yield part(sums[0][0], sums[0][0], None, None, None, sums[0][1])
+                    yield part(sums[0][0], sums[0][0], value=sums[0][1])
                     sums, size = [], 0
         if sums:
             keys, value = _summed(sums)
-            yield part(keys, keys, None, None, None, value)
+            yield part(keys, keys, value=value)
 
     parts = map_arrow(dealt, price, "row long, need long, weight long, doc_id long, n_words long, log_prob double")
     parts = parts.join(counts.withColumnRenamed("h", "need"), "need", "left")
@@ -231,23 +263,24 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(place, np.concatenate([x for _, x in parts]), len(keys))
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted rows of ``batches``, cut anew so that no run of a pair is parted."""
-    held: list[pa.RecordBatch] = []
+def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair."""
+    with np.errstate(over="ignore"):
+        return mix(mix(a.view(U64) * U64(0x9E3779B97F4A7C15)) + b.view(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Of rows sorted by split: each part with its blocks; documents' own blocks, of part -1, come one by one."""
+    at, blocks = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        change = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
-        last = int(change[-1]) if len(change) else 0
-        if held:
-            end = held[-1].slice(held[-1].num_rows - 1)
-            if end.column("a")[0].as_py() != a[0] or end.column("b")[0].as_py() != b[0]:
-                yield pa.concat_batches(held)
-                held = []
-        if last:
-            yield pa.concat_batches([*held, batch.slice(0, last)])
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.concat_batches(held)
+        for split, data in zip(batch.column("split").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if split < 0:
+                yield split, [data]
+                continue
+            if split != at and blocks:
+                yield at, blocks
+                blocks = []
+            at = split
+            blocks.append(data)
+    if blocks:
+        yield at, blocks

@@ -75,3 +75,26 @@ def test_words_beyond_the_broadcast_ones(spark):
     docs = [(i, " ".join(f"v{i * 100 + k}" for k in range(100))) for i in range(700)] + [(1000 + i, "v5 v6 v7") for i in range(3)]
     got = {r["doc_id"]: r["log_prob"] for r in scoring.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {d: pytest.approx(s, rel=1e-9) for d, _, s in brute(docs, math.inf)}
+
+
+def test_blocks_round_trip():
+    import numpy as np
+    import zstandard
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        arrays = (rng.integers(-(2**62), 2**62, n), rng.integers(0, 9, n), rng.integers(-5, 5, n), rng.integers(0, 99, n).astype(np.int32))
+        back = scoring.unpack(scoring.pack(arrays, scoring._PAIR, zstandard.ZstdCompressor()), scoring._PAIR, zstandard.ZstdDecompressor())
+        assert all((x == y).all() and len(y) == n for x, y in zip(arrays, back, strict=True))
+
+
+def test_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "PART", 40)
+    monkeypatch.setattr(scoring, "PACK_BYTES", 100)
+    docs = [(i, " ".join(f"w{(i * k) % 23}" for k in range(1, 30))) for i in range(40)] + [(None, None), (3, "w1 w2 w3"), (3, "")]
+    want = brute(docs, scoring.VOCABULARY)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_words"], r["log_prob"]) for r in scoring.score(df, head=4, known=9).collect()), key=str)
+    want = sorted(want, key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a - b) < 1e-6 for (*_, a), (*_, b) in zip(got, want, strict=True))
