@@ -28,7 +28,7 @@ def bracket(probes: DataFrame, samples: DataFrame, by: list[str], t: str, seq: s
     right = samples.select(*by, F.col(t).alias("_t"), sample.alias("s"), F.lit(None).cast(shape).alias("p"))
     rows = left.unionByName(right).withColumn("_b", F.floor(F.col("_t") / bucket_us))
     parts = [*by, "_b"]
-    tie = F.coalesce(F.col("s.seq").cast("double"), F.lit(None).cast("double"))
+    tie = F.col("s.seq")
     # at one time samples stand before probes for lo, and behind them for hi
     up = Window.partitionBy(*parts).orderBy("_t", F.col("s").isNull(), tie).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*parts).orderBy(F.desc("_t"), F.col("s").isNull(), F.desc(tie)).rowsBetween(Window.unboundedPreceding, 0)

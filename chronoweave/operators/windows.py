@@ -1,8 +1,7 @@
 """Operators on a series' neighbouring rows, as native windows.
 
 ``Series`` names the columns that identify and order a series. Window functions sort within a series
-and spill; where only neighbours matter, ``halo`` cuts a long series into time buckets with
-the rows that a bucket needs from next door, so that one hot series is many tasks' work.
+and spill; a series is one task's work.
 """
 
 from __future__ import annotations

@@ -114,7 +114,7 @@ def intersect_keys(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_custkey AS k FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def except_keys(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    return o.select(F.col("o_custkey").alias("k")).exceptAll(o.limit(0).select("o_custkey")).subtract(o.where("o_orderpriority = '1-URGENT'").select("o_custkey"))
+    return o.select(F.col("o_custkey").alias("k")).subtract(o.where("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
