@@ -212,7 +212,9 @@ def size_label(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", scalars.size_label(F.col("p_size") * 200, F.lit(1080)).alias("label"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, p_size * 16 AS w, 144 AS h, p_size / 9.0 AS ratio FROM part WHERE p_size > 0), n AS (SELECT * FROM (VALUES (0, 1, 1), (1, 3, 2), (2, 2, 3), (3, 4, 3), (4, 3, 4), (5, 8, 7), (6, 7, 8), (7, 16, 9), (8, 9, 16)) t(k, a, b)),
+b AS (SELECT p_partkey, arg_min(a || ':' || b, (abs(ratio - a / b::DOUBLE), k)) AS label, min(abs(ratio - a / b::DOUBLE)) AS d FROM p CROSS JOIN n GROUP BY p_partkey)
+SELECT p_partkey, CASE WHEN d < 0.05 THEN label WHEN w // gcd(w, h) >= 20 OR h // gcd(w, h) >= 20 THEN printf('%.1f', ratio::DOUBLE) || ':1' ELSE (w // gcd(w, h)) || ':' || (h // gcd(w, h)) END AS label FROM p JOIN b USING (p_partkey)""")
 def aspect_label(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", scalars.aspect_label(F.col("p_size") * 16, F.lit(144)).alias("label"))
 
