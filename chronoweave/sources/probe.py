@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed: marks that formats put into a file's head or tail.
+#: Fixed: marks that formats put into a file. Any of them will do, but all of "dji", and that of "insta360" is a file's end.
 MARKS = (("gopro", ("GoPro MET", "GoPro SOS", "GPMFDEVC")), ("insta360", ("8db42d694ccc418790edff439fe026bf",)), ("dji", ("CAM meta", "djmd")), ("sony", ("Non-Real Time Meta", "manufacturer=\"Sony\"")), ("gcsv", (" IMU LOG",)))
 
 
@@ -20,13 +20,14 @@ def window_bytes(size: Column) -> Column:
 
 
 def sniff(content: Column) -> Column:
-    """The first format whose mark lies in the bytes, else null."""
-    text = F.decode(content, F.lit("ISO-8859-1"))
+    """The first format whose marks are in the bytes (a file's, or its head and tail), else null."""
+    text = F.decode(content, "ISO-8859-1")
     out = F.lit(None).cast("string")
     for name, marks in reversed(MARKS):
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | text.contains(m)
+        hits = [F.endswith(text, F.lit(m)) if name == "insta360" else text.contains(m) for m in marks]
+        hit = hits[0]
+        for h in hits[1:]:
+            hit = hit & h if name == "dji" else hit | h
         out = F.when(hit, name).otherwise(out)
     return out
 
