@@ -51,6 +51,16 @@ def nearest(lo: Column, hi: Column, t: Column, within: int) -> Column:
     return F.when(a == 0, lo).when((da < db) & (da < within), lo).when((db < da) & (db < within), hi)
 
 
+def later_than_closest(probes: DataFrame, samples: DataFrame, by: list[str], t: str, seq: str, value: str, within: int, rows: int) -> DataFrame:
+    """``probes`` with ``later``: the value that many rows behind the sample closest in time (the earlier of two), if
+    that one is not farther than ``within`` and there are so many."""
+    ahead = samples.withColumn("later", F.lead(value, rows).over(Window.partitionBy(*by).orderBy(t, seq)))
+    found = bracket(probes, ahead, by, t, seq, ["later"])
+    a, b = F.col(t) - F.col("lo.t"), F.col("hi.t") - F.col(t)
+    pick = F.when(F.coalesce(a <= b, F.col("hi").isNull()), F.when(a <= within, F.col("lo.later"))).when(b <= within, F.col("hi.later"))
+    return found.select(*probes.columns, pick.alias("later"))
+
+
 def share(lo: Column, hi: Column, t: Column) -> Column:
     """How far ``t`` is from lo to hi, 0 where both are one time."""
     span = hi["t"] - lo["t"]

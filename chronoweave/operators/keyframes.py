@@ -20,6 +20,15 @@ def value_at(probes: DataFrame, keys: DataFrame, by: list[str], t: str, seq: str
     return found.withColumn("value", value if provider is None else F.coalesce(provider, value)).drop("lo", "hi")
 
 
+def value_at_sensor(probes: DataFrame, keys: DataFrame, offsets: DataFrame, by: list[str], t: str, seq: str, scale: float = 1.0) -> DataFrame:
+    """``probes`` at the sensor's times, moved to the video's by the offset curve (by, t, seq, value; microseconds, 0 without
+    any) and scaled, with ``value`` of the keys there."""
+    found = asof.bracket(probes, offsets, by, t, seq, ["value"])
+    offset = F.coalesce(asof.lerp(F.col("lo"), F.col("hi"), F.col(t), "value"), F.lit(0.0))
+    moved = found.withColumn(t, F.bround((F.col(t) + offset) * scale, 0).cast("long")).drop("lo", "hi")
+    return value_at(moved, keys, by, t, seq)
+
+
 def neighbours(keys: DataFrame, by: list[str], t: str) -> DataFrame:
     """``keys`` with the strictly earlier and later key times."""
     w = Window.partitionBy(*by).orderBy(t)

@@ -295,17 +295,6 @@ def smooth_default(q: np.ndarray, rate: float, smoothness: float = 0.5, slow_s:
     return _follow(first, np.minimum(1, slow * (1 - ratio) + fast * ratio))
 
 
-def lock_horizon(q: np.ndarray, percent: float, roll: float = 0.0) -> np.ndarray:
-    """Towards the same orientation with its roll replaced, by percent."""
-    w, x, y, z = q.T
-    pitch = np.arcsin(np.clip(2 * (w * y - z * x), -1, 1))
-    yaw = np.arctan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))
-    c, s = (lambda v: np.cos(v / 2)), (lambda v: np.sin(v / 2))
-    r = np.full(len(q), roll)
-    level = np.stack([c(r) * c(pitch) * c(yaw) + s(r) * s(pitch) * s(yaw), s(r) * c(pitch) * c(yaw) - c(r) * s(pitch) * s(yaw), c(r) * s(pitch) * c(yaw) + s(r) * c(pitch) * s(yaw), c(r) * c(pitch) * s(yaw) - s(r) * s(pitch) * c(yaw)], 1)
-    return np.array([slerp(a, b, 1 - percent / 100) for a, b in zip(level, q, strict=True)]) if len(q) else q
-
-
 def adaptive_ema(x: np.ndarray, rate: float, slow_s: float, fast_s: float, top_speed: float) -> np.ndarray:
     """A positive series with gaps: heavier smoothing where its relative change is slow; both ways.
 

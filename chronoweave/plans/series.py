@@ -366,11 +366,6 @@ def smooth_default(spark: SparkSession, sf: str) -> DataFrame:
     return _smoothed(spark, sf, orientation.smooth_default)
 
 
-@query()
-def horizon_lock(spark: SparkSession, sf: str) -> DataFrame:
-    return _smoothed(spark, sf, lambda q, rate: orientation.lock_horizon(q, 80.0))
-
-
 @query(f"""WITH {EVENTS}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, max(value) OVER (PARTITION BY user_id) AS top FROM s)
 SELECT event_id, user_id, round(CASE WHEN i >= floor(n * 0.25) AND i <= ceil(n * 0.6) THEN value ELSE top END, 6) AS value FROM x""")
 def trim_mask_fill_max(spark: SparkSession, sf: str) -> DataFrame:
