@@ -40,3 +40,13 @@ def best(df: DataFrame, by: list[str], keys: list[Column], keep: list[str]) -> D
     """The row with the least keys in each group."""
     pick = F.min(F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), F.struct(*keep).alias("row")))
     return df.groupBy(*by).agg(pick.alias("b")).select(*by, *(F.col(f"b.row.{c}").alias(c) for c in keep))
+
+
+def lookup(wanted: DataFrame, known: DataFrame, key: str, first: Column) -> DataFrame:
+    """``wanted`` with the columns of ``known`` (one row a key) for the key ``first``, else for its own key; nulls if
+    neither is known. Two equi-joins."""
+    rest = [c for c in known.columns if c != key]
+    by_first = known.select(F.col(key).alias("_first"), F.struct(*rest).alias("_a"))
+    by_own = known.select(key, F.struct(*rest).alias("_b"))
+    found = wanted.withColumn("_first", first).join(by_first, "_first", "left").join(by_own, key, "left")
+    return found.withColumn("_hit", F.coalesce("_a", "_b")).select(*wanted.columns, *(F.col(f"_hit.{c}").alias(c) for c in rest))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Ranges = tuple[tuple[int, int], ...]
@@ -28,3 +28,8 @@ def rebase(t: Column, ranges: Ranges) -> Column:
 def from_shares(shares: tuple[tuple[float, float], ...], duration: Column) -> Column:
     """array<struct<start, end>> of shares of a duration; 0 and 1 are open ends (null)."""
     return F.array(*(F.struct((F.lit(a) * duration if a > 0 else F.lit(None).cast("double")).alias("start"), (F.lit(b) * duration if b < 1 else F.lit(None).cast("double")).alias("end")) for a, b in shares))
+
+
+def replaced(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of ``new``, and those of ``old`` for series that ``new`` has none of."""
+    return new.unionByName(old.join(new.select(*by).distinct(), by, "left_anti"))

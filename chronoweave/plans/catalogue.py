@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.plans import camera, lens, motion, relational, series, stabilise, streams, telemetry
+from chronoweave.plans import camera, lens, motion, project, relational, series, stabilise, streams, telemetry
 from chronoweave.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "camera", "flagship", "lens", "motion", "relational", "series", "stabilise", "streams", "telemetry"]
+__all__ = ["ORACLES", "QUERIES", "camera", "flagship", "lens", "motion", "project", "relational", "series", "stabilise", "streams", "telemetry"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
