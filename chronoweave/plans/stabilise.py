@@ -103,15 +103,15 @@ def _sql_knots(a0: str, a1: str, a2: str, u: str) -> str:
     return f"CASE WHEN {u} < 1 THEN ({a0}) + (({a1}) - ({a0}) - {c} / 3) * {u} + {c} / 3 * {u} * {u} * {u} ELSE ({a1}) + (({a2}) - ({a1}) - 2 * {c} / 3) * ({u} - 1) + {c} * ({u} - 1) * ({u} - 1) - {c} / 3 * ({u} - 1) * ({u} - 1) * ({u} - 1) END"
 
 
-@query(f"""WITH a AS (SELECT event_id, value AS v, event_id % 7 AS k, event_id % 100 / 50 AS ux, event_id % 37 / 18.5 AS uy FROM events),
+@query(f"""WITH a AS (SELECT event_id, value AS v, event_id % 7 AS k, event_id % 97 / 48.5 AS ux, event_id % 37 / 18.5 AS uy FROM events),
 l AS (SELECT *, {_sql_knots("v", "k", "v + k", "ux")} AS r0, {_sql_knots("k", "v / 2", "3", "ux")} AS r1, {_sql_knots("2", "k * k", "v", "ux")} AS r2 FROM a)
 SELECT event_id, round({_sql_knots("r0", "r1", "r2", "uy")}, 5) + 0.0 AS value FROM l""")
 def mesh_surface(spark: SparkSession, sf: str) -> DataFrame:
-    """A correction mesh of three by three, at a point of a picture of 100 x 37."""
+    """A correction mesh of three by three, at a point of a picture of 97 x 37."""
     v, k = F.col("value"), (F.col("event_id") % 7).cast("double")
     rows = F.array(F.array(v, k, v + k), F.array(k, v / 2, F.lit(3.0)), F.array(F.lit(2.0), k * k, v))
-    x, y = (F.col("event_id") % 100).cast("double"), (F.col("event_id") % 37).cast("double")
-    return events(spark, sf).select("event_id", r(splines.mesh_at(rows, x, y, 100.0, 37.0), 5).alias("value"))
+    x, y = (F.col("event_id") % 97).cast("double"), (F.col("event_id") % 37).cast("double")
+    return events(spark, sf).select("event_id", r(splines.mesh_at(rows, x, y, 97.0, 37.0), 5).alias("value"))
 
 
 def _sql_after(kind: str, alias: str, source: str, share: str) -> str:
