@@ -64,7 +64,8 @@ def later_than_closest(probes: DataFrame, samples: DataFrame, by: list[str], t:
 def share(lo: Column, hi: Column, t: Column) -> Column:
     """How far ``t`` is from lo to hi, 0 where both are one time."""
     span = hi["t"] - lo["t"]
-    return F.when(span == 0, F.lit(0.0)).otherwise((t - lo["t"]) / span)
+    # the engine may work out a quotient before it knows whether its case holds
+    return F.when(span == 0, F.lit(0.0)).otherwise(F.try_divide(t - lo["t"], span))
 
 
 def lerp(lo: Column, hi: Column, t: Column, value: str) -> Column:
@@ -90,9 +91,9 @@ def with_slerp(df: DataFrame, parts: tuple[str, str, str, str], prefix: str = ""
     size, u = F.abs("_dot"), F.col("_u")
     out = out.withColumns({"_near": size > 0.9995, "_far": F.acos(F.least(size, F.lit(1.0))), "_sign": F.when(F.col("_dot") < 0, -1.0).otherwise(1.0)})
     near, far = F.col("_near"), F.col("_far")
-    out = out.withColumns({"_wa": F.when(near, 1 - u).otherwise(F.sin((1 - u) * far) / F.sin(far)), "_wb": F.when(near, u).otherwise(F.sin(u * far) / F.sin(far)) * F.col("_sign")})
+    out = out.withColumns({"_wa": F.when(near, 1 - u).otherwise(F.try_divide(F.sin((1 - u) * far), F.sin(far))), "_wb": F.when(near, u).otherwise(F.try_divide(F.sin(u * far), F.sin(far))) * F.col("_sign")})
     out = out.withColumns({f"_m{i}": p * F.col("_wa") + q * F.col("_wb") for i, (p, q) in enumerate(zip(a.parts, b.parts, strict=True))})
     mixed = Quat(*(F.col(f"_m{i}") for i in range(4)))
     out = out.withColumn("_n", F.sqrt(mixed.dot(mixed)))
-    made = {f"{prefix}{p}": F.when(F.col("_n") > 0, m / F.col("_n")) for p, m in zip(parts, mixed.parts, strict=True)}
+    made = {f"{prefix}{p}": F.when(F.col("_n") > 0, F.try_divide(m, F.col("_n"))) for p, m in zip(parts, mixed.parts, strict=True)}
     return out.withColumns(made).drop(*ends, "_u", "_dot", "_near", "_far", "_sign", "_wa", "_wb", "_n", *(f"_m{i}" for i in range(4)))
