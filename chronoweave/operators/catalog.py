@@ -36,10 +36,10 @@ def matches(words: Column, fields: list[Column]) -> Column:
     return F.forall(words, found)
 
 
-def best(df: DataFrame, by: list[str], keys: list[Column], keep: list[str]) -> DataFrame:
-    """The row with the least keys in each group."""
+def best(df: DataFrame, by: list[str], keys: list[Column], keep: list[str], **also: Column) -> DataFrame:
+    """The row with the least keys in each group, and the aggregates ``also`` of the whole group."""
     pick = F.min(F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), F.struct(*keep).alias("row")))
-    return df.groupBy(*by).agg(pick.alias("b")).select(*by, *(F.col(f"b.row.{c}").alias(c) for c in keep))
+    return df.groupBy(*by).agg(pick.alias("b"), *(c.alias(n) for n, c in also.items())).select(*by, *(F.col(f"b.row.{c}").alias(c) for c in keep), *also)
 
 
 def lookup(wanted: DataFrame, known: DataFrame, key: str, first: Column) -> DataFrame:
