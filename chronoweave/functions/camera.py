@@ -94,9 +94,11 @@ def frame_fov(keyed: Column, scale: Column, fovs: Column, frame: Column, width:
     return F.greatest(F.when(n > 0, own * base).otherwise(1.0), F.lit(0.001)) * width / F.greatest(out_width, F.lit(1))
 
 
-def zoom_compensation(enabled: Column, raw: Column, smooth: Column) -> Column:
-    """True over smoothed focal length; 1 where either is unknown or not positive."""
-    return F.when(enabled & (raw > 0) & (smooth > 0), raw / smooth).otherwise(1.0)
+def zoom_compensation(enabled: Column, raw: Column, smooth: Column, any_raw: bool = False) -> Column:
+    """True over smoothed focal length; 1 where either is unknown or not positive. With ``any_raw``
+    the true one is taken as it is, zero or unknown too."""
+    known = enabled & (smooth > 0)
+    return F.when(known if any_raw else known & (raw > 0), raw / smooth).otherwise(1.0)
 
 
 def diagonal_fov(width: Column, height: Column, fy: Column) -> Column:

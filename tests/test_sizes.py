@@ -35,3 +35,10 @@ def same_as_sql(spark, folder, name: str, events: list[tuple]) -> list[str]:
 def test_best_run_weighs_late_runs(spark, tmp_path):
     runs = [(7, day(0), 1, "click", 0.02), (3_000_000, day(1), 1, "click", 0.01), (5_000_000, day(2), 1, "view", None), (8, day(1), 2, "view", 0.5), (9, day(2), 2, "view", 0.5)]
     assert same_as_sql(spark, tmp_path, "best_run", runs) == ["(0.01, 7, 1)", "(0.5, 8, 2)"]
+
+
+def test_intrinsics_of_zero(spark, tmp_path):
+    got = same_as_sql(spark, tmp_path, "intrinsics", [(i, day(i), 1, "click", 0.0) for i in range(10)])
+    assert sum(x.startswith("(0.0,") for x in got) == 4
+    one = spark.range(1).select(camera.zoom_compensation(F.lit(True), F.lit(0.0), F.lit(2.0))).first()
+    assert one[0] == 1.0
