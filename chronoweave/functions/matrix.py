@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -33,11 +34,26 @@ class Matrix:
         det = a * cofactors[0] + b * cofactors[3] + c * cofactors[6]
         return Matrix(tuple(F.when(det != 0, x / det) for x in cofactors))
 
-    def rotation_vector(self) -> Vector:
-        """Axis times angle of a rotation, for angles below half a turn."""
-        half = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (self.m[0] + self.m[4] + self.m[8] - 1) / 2)))
-        scale = F.when(F.sin(half) > 1e-9, half / (2 * F.sin(half))).otherwise(0.5)
-        return tuple((self.m[a] - self.m[b]) * scale for a, b in ((7, 5), (2, 6), (3, 1)))
+    def rotation_vector(self, near: Vector | None = None) -> Vector:
+        """Axis times angle of a rotation, for angles below half a turn; with ``near`` the one of all vectors
+        that give this rotation which is nearest to it, whatever the angle."""
+        twice = tuple(self.m[a] - self.m[b] for a, b in ((7, 5), (2, 6), (3, 1)))
+        sine = F.sqrt(twice[0] * twice[0] + twice[1] * twice[1] + twice[2] * twice[2])
+        trace = self.m[0] + self.m[4] + self.m[8]
+        angle = F.atan2(sine, trace - 1)
+        if near is None:
+            scale = F.when(sine > 2e-9, angle / sine).otherwise(0.5)
+            return tuple(c * scale for c in twice)
+        length = F.sqrt(near[0] * near[0] + near[1] * near[1] + near[2] * near[2])
+        # half turns have their axis in the symmetric part's largest column, whole turns any axis
+        m = self.m
+        columns = ((m[0] + 1, m[3], m[6]), (m[1], m[4] + 1, m[7]), (m[2], m[5], m[8] + 1))
+        largest = [F.when((m[0] >= m[4]) & (m[0] >= m[8]), a).when(m[4] >= m[8], b).otherwise(c) for a, b, c in zip(*columns, strict=True)]
+        size = F.sqrt(largest[0] * largest[0] + largest[1] * largest[1] + largest[2] * largest[2])
+        axis = tuple(F.when(sine > 2e-9, c / sine).when(trace < 1, x / size).when(length > 0, v / length).otherwise(0.0) for c, x, v in zip(twice, largest, near, strict=True))
+        along = near[0] * axis[0] + near[1] * axis[1] + near[2] * axis[2]
+        whole = angle + 2 * math.pi * F.rint((along - angle) / (2 * math.pi))
+        return tuple(a * whole for a in axis)
 
 
 def from_quat(q: Quat) -> Matrix:

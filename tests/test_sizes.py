@@ -42,3 +42,18 @@ def test_intrinsics_of_zero(spark, tmp_path):
     assert sum(x.startswith("(0.0,") for x in got) == 4
     one = spark.range(1).select(camera.zoom_compensation(F.lit(True), F.lit(0.0), F.lit(2.0))).first()
     assert one[0] == 1.0
+
+
+def test_rotation_rate_past_half_a_turn(spark, tmp_path):
+    values = [0.0, 100.0, 522.0, 522.7, 523.0, 560.21, 800.0, 1045.0, 1568.0, 2500.0]
+    same_as_sql(spark, tmp_path, "rotation_rate", [(i + 10 * k, day(i), 1, "click", v) for k in range(5) for i, v in enumerate(np.roll(values, k).tolist())])
+
+
+def test_rotation_vector_of_half_and_whole_turns(spark):
+    def vector(q, near):
+        m = matrix.from_quat(Quat(*map(F.lit, q))).rotation_vector(tuple(map(F.lit, near)))
+        return np.array(spark.range(1).select(*(c.alias(str(i)) for i, c in enumerate(m))).first(), float)
+
+    assert np.allclose(vector((0.0, 0.6, 0.0, -0.8), (-2.0, 0.0, 2.0)), np.array([-0.6, 0, 0.8]) * math.pi)
+    assert np.allclose(vector((1.0, 0.0, 0.0, 0.0), (0.0, 6.0, 0.0)), [0, 2 * math.pi, 0])
+    assert np.allclose(vector((1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0)), 0)
