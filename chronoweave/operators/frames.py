@@ -29,16 +29,20 @@ def correction(org: DataFrame, smooth: DataFrame, by: list[str], t: str = "t") -
     return org.select(*by, t, *PARTS).join(other, [*by, t]).select(*by, t, *_as(quat("s_").inverse() * quat()))
 
 
-def max_angles(org: DataFrame, smooth: DataFrame, by: list[str], ranges: list[tuple[int, int]] = (), t: str = "t") -> DataFrame:
+def max_angles(org: DataFrame, smooth: DataFrame, by: list[str], ranges: list[tuple[int, int]] = (), t: str = "t", seq: str | None = None, wound: bool = False) -> DataFrame:
     """(by, pitch, yaw, roll): the largest angles, in degrees, of the correction about each axis,
-    over smoothed rows within ``ranges`` (all without any); the identity stands for a missing original."""
+    over smoothed rows within ``ranges`` (all without any); the identity stands for a missing original.
+    Rows with the same time meet by ``seq``, if it is named. With ``wound`` quaternions' signs count: turns
+    past a half and up to a full one keep their angle."""
+    at = [t, seq] if seq else [t]
     inside = F.lit(not ranges)
     for a, b in ranges:
         inside = inside | F.col(t).between(a, b)
-    mine = smooth.where(inside).select(*by, t, *_as(quat(), "s_"))
-    rows = mine.join(org.select(*by, t, *PARTS), [*by, t], "left")
+    mine = smooth.where(inside).select(*by, *at, *_as(quat(), "s_"))
+    rows = mine.join(org.select(*by, *at, *PARTS), [*by, *at], "left")
     found = Quat(F.coalesce("qw", F.lit(1.0)), *(F.coalesce(p, F.lit(0.0)) for p in PARTS[1:]))
-    about_x, about_y, about_z = (quat("s_").inverse() * found).euler()
+    rows = rows.select(*by, *_as(quat("s_").inverse() * found))
+    about_x, about_y, about_z = quat().wound_euler() if wound else quat().euler()
     # the tables' names: pitch is about x, yaw about y, roll about z
     return rows.groupBy(*by).agg(*(F.degrees(F.max(F.abs(a))).alias(n) for a, n in ((about_x, "pitch"), (about_y, "yaw"), (about_z, "roll"))))
 

@@ -44,6 +44,12 @@ def test_intrinsics_of_zero(spark, tmp_path):
     assert one[0] == 1.0
 
 
+def test_max_angles_past_half_a_turn(spark, tmp_path):
+    events = [(1, day(4), 1, "click", 900.0), (2, day(4), 2, "click", 1600.0), (3, day(4), 3, "click", 800.0), (5, day(4), 3, "click", 700.0), (6, day(5), 4, "click", 100.0), (10, day(5), 4, "click", 300.0)]
+    got = same_as_sql(spark, tmp_path, "max_angles", events)
+    assert sum(float(x.strip("()").split(", ")[1]) > 180 for x in got) == 2
+
+
 def test_rotation_rate_past_half_a_turn(spark, tmp_path):
     values = [0.0, 100.0, 522.0, 522.7, 523.0, 560.21, 800.0, 1045.0, 1568.0, 2500.0]
     same_as_sql(spark, tmp_path, "rotation_rate", [(i + 10 * k, day(i), 1, "click", v) for k in range(5) for i, v in enumerate(np.roll(values, k).tolist())])
