@@ -447,7 +447,7 @@ SELECT d.user_id, round(regr_slope(y, x), 4) + 0.0 AS slope, round(regr_intercep
 FROM best JOIN d ON best.user_id = d.user_id WHERE abs(y - (m * x + k)) < 25 GROUP BY d.user_id""")
 def consensus_line(spark: SparkSession, sf: str) -> DataFrame:
     d = _days(events(spark, sf)).where("event_type = 'signup'")
-    found = robust.consensus(d, ["user_id"], "day", "value", 25.0, 20.0)
+    found = robust.consensus(d, ["user_id"], "day", "value", 25.0, 20.0, each_pair=True)
     return found.select("user_id", r("slope", 4).alias("slope"), r("intercept", 4).alias("intercept"), "inliers")
 
 

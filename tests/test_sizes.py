@@ -37,6 +37,14 @@ def test_best_run_weighs_late_runs(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "best_run", runs) == ["(0.01, 7, 1)", "(0.5, 8, 2)"]
 
 
+def test_consensus_line_counts_pairs(spark, tmp_path):
+    # three points lie on one level, so three pairs give that line
+    values = [78.65, 47.21, 32.95, 4.22, 50.38, 33.52, 16.88, 4.22, 105.51, 19.79, 99.53, 4.22, 85.73, 203.28, 72.39, 48.07, 125.1]
+    days = [1.34, 3.61, 5.72, 7.07, 7.79, 8.01, 17.2, 19.75, 20.18, 21.46, 22.61, 25.61, 26.08, 26.11, 27.11, 29.38, 29.98]
+    events = [(i, day(d), 1, "signup", v) for i, (d, v) in enumerate(zip(days, values, strict=True))]
+    assert len(same_as_sql(spark, tmp_path, "consensus_line", events)) == 1
+
+
 def test_intrinsics_of_zero(spark, tmp_path):
     got = same_as_sql(spark, tmp_path, "intrinsics", [(i, day(i), 1, "click", 0.0) for i in range(10)])
     assert sum(x.startswith("(0.0,") for x in got) == 4
