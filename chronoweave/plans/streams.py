@@ -50,7 +50,7 @@ SELECT user_id, t, round(e, 6) AS ema FROM q""")
 def stream_ema(spark: SparkSession, sf: str) -> DataFrame:
     """Causal smoothing with one number of state for each series."""
     ensure_shipped(spark)
-    out = _run(spark, streams.causal_ema(_source(spark, sf).select("user_id", "ts", "value"), "user_id", "ts", "value", 0.2))
+    out = _run(spark, streams.causal_ema(_source(spark, sf).select("user_id", "ts", "event_id", "value"), "user_id", "ts", "value", 0.2, "event_id"))
     return out.select("user_id", micros(F.col("ts").cast("timestamp_ntz")).alias("t"), r("ema").alias("ema"))
 
 

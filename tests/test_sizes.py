@@ -37,6 +37,29 @@ def test_best_run_weighs_late_runs(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "best_run", runs) == ["(0.01, 7, 1)", "(0.5, 8, 2)"]
 
 
+@pytest.mark.parametrize("name", ["stream_ema", "stream_rate_control"])
+def test_streams_take_series_in_pieces_in_order(spark, tmp_path, name):
+    some = np.random.default_rng(3).permutation(200).tolist()
+    events = [(i, day(i / 10), i % 2, "click", float(i * 37 % 101)) for i in some]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        if name in catalogue.ORACLES:
+            assert len(same_as_sql(spark, tmp_path, name, events)) == 200
+        else:
+            found = []
+            for part, order in enumerate((events, sorted(events))):
+                folder = tmp_path / str(part)
+                folder.mkdir()
+                columns = list(zip(*order, strict=True))
+                pq.write_table(pa.table([pa.array(columns[0]), pa.array(columns[1], pa.timestamp("us")), pa.array(columns[2]), pa.array(columns[3]), pa.array(columns[4])], names=["event_id", "ts", "user_id", "event_type", "value"]), folder / "events.parquet")
+                spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if part == 0 else "10000")
+                found.append(rows(catalogue.QUERIES[name](spark, str(folder)).toPandas()))
+            assert found[0] == found[1]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_consensus_line_counts_pairs(spark, tmp_path):
     # three points lie on one level, so three pairs give that line
     values = [78.65, 47.21, 32.95, 4.22, 50.38, 33.52, 16.88, 4.22, 105.51, 19.79, 99.53, 4.22, 85.73, 203.28, 72.39, 48.07, 125.1]
