@@ -7,6 +7,8 @@ empty unless it says otherwise.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,10 +23,38 @@ U64 = np.uint64
 STEP_BYTES = 2 << 20
 
 
+#: What operators keep from task to task in a worker: the module of the last operator, and each module's way to let go.
+_LAST: list[str] = []
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def release(module: str) -> None:
+    """Workers outlive stages: lets go of what operators of other modules than ``module`` keep in this worker."""
+    if _LAST == [module]:
+        return
+    _LAST[:] = [module]
+    for owner, drop in KEPT.items():
+        if owner != module:
+            drop()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do so; allocators would keep it for an idle worker."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package shipped to the executors."""
+    """mapInArrow with this package shipped to the executors, and without what earlier stages left in their workers."""
     ensure_shipped(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(fn.__module__)
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chronoweave.llm.common import id_text, map_arrow
+from chronoweave.llm.common import KEPT, id_text, map_arrow
 
 MAX_MODEL_BYTES = 64 << 20
 #: Distinct segments that a worker remembers; it starts afresh when they are more.
@@ -172,6 +172,7 @@ def load(path: str) -> bytes:
 
 
 _LOADED: dict[tuple, Pieces] = {}
+KEPT[__name__] = _LOADED.clear
 
 
 def loaded(model: bytes, begin: bool, end: bool) -> Pieces:

@@ -78,3 +78,15 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+
+
+def test_workers_let_go_of_other_operators():
+    from chronoweave.llm import common, pieces
+
+    pieces._LOADED["some"] = None
+    common._LAST[:] = [pieces.__name__]
+    common.release(pieces.__name__)
+    assert "some" in pieces._LOADED
+    common.release("chronoweave.llm.jaccard")
+    assert not pieces._LOADED
+    common.give_back()
